@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polymera.llm import language_id, media, token_counts, toxicity, url_filter
+from polymera.llm import language_id, media, near_dedup, token_counts, toxicity, url_filter
 from polymera.llm.common import held_out
 
 
@@ -31,6 +31,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), keep=["page_id"])
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_columns": op1_media_columns,
         "op4_toxicity": op4_toxicity,
+        "op5_near_dedup": op5_near_dedup,
         "op6_url_filter": op6_url_filter,
         "op7_token_counts": op7_token_counts,
         "op8_language_id": op8_language_id,
@@ -80,5 +85,21 @@ SELECT page_id, host, path, rule, strict_hits, soft_hits, CASE
   WHEN strict_hits >= 1 OR soft_hits >= {url_filter.SOFT_HITS} THEN 'block' ELSE 'allow' END AS verdict FROM d"""
 
 
+OP5_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_A}', '{_A.lower()}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n, hash(list_sort(s)) AS h FROM s),
+c AS (SELECT h, min(n) AS n, min(doc_id) AS c FROM n WHERE n > 0 GROUP BY h),
+x AS (SELECT doc_id AS c, unnest(s) AS g FROM s WHERE doc_id IN (SELECT c FROM c)),
+both_ AS (SELECT a.c AS a, b.c AS b, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.c < b.c GROUP BY 1, 2),
+e AS (SELECT a, b FROM both_ JOIN c ca ON ca.c = a JOIN c cb ON cb.c = b WHERE 100 * k >= 75 * (ca.n + cb.n - k)),
+d AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT c AS a, c AS b FROM c UNION SELECT r.a, d.b FROM r JOIN d ON d.a = r.b),
+m AS (SELECT a, min(b) AS m FROM r GROUP BY a)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(m.m, n.doc_id) AS component_id, n.doc_id = coalesce(m.m, n.doc_id) AS kept
+FROM n LEFT JOIN c ON c.h = n.h AND n.n > 0 LEFT JOIN m ON m.a = c.c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL}
+    return {"op5_near_dedup": OP5_SQL, "op6_url_filter": OP6_SQL}
