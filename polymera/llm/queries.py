@@ -27,7 +27,8 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id"), 4))
-    model = toxicity.learn_toxicity(docs.where(~F.col("held_out")), _table(spark, sf_dir, "labels"))
+    labels = _table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 4))
+    model = toxicity.learn_toxicity(docs, labels)
     return toxicity.score_toxicity(docs, model, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
 
 

@@ -21,8 +21,9 @@ PRIOR, LEAST_Z, LEAST_ODDS, MOST_ODDS, DRIFT = 2.0, 3.5, 2.5, 8.0, -0.35
 PREFIXES = (5, 4)
 #: Tokens of a model at most, the strongest first: the bound of what is broadcast.
 MODEL_TOKENS = 200_000
-#: Labelled rows, those of least hash, that may calibrate; and the decision's score.
-CALIBRATION_ROWS, THRESHOLD = 20_000, 0.3
+#: Labelled rows that the classifier is fitted on at most, those whose ids have the least hashes; and the
+#: decision's score.
+LABELLED_ROWS, THRESHOLD = 50_000, 0.3
 #: A passage counts if its expected number by chance in a text of this length is at most this.
 SIGNIFICANT = 0.01
 
@@ -138,20 +139,21 @@ def _token_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "token binary, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", model_tokens: int = MODEL_TOKENS, calibration_rows: int = CALIBRATION_ROWS) -> ToxicityModel:
-    """Fit the model on the rows of docs that labels covers.
+def learn_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", model_tokens: int = MODEL_TOKENS, labelled_rows: int = LABELLED_ROWS) -> ToxicityModel:
+    """Fit the model on the rows of docs that labels covers, `labelled_rows` labels at most.
 
-    Counts are of all labelled rows that hold a token. A token's weight is the log ratio of its rates in
-    toxic and clean texts under Dirichlet priors (Monroe et al.); weights whose z-score is under LEAST_Z, or
-    which are smaller than LEAST_ODDS, are left out. Chance is fitted on clean texts of a bounded sample of
-    `calibration_rows` labelled rows (least hash of the id): scores of their best passages follow a
-    Gumbel law by length, whose tail is fitted. The last step is a two-parameter logistic fit on the same rows.
-    Rows with null labels teach nothing; a document labelled twice counts twice; without labels of both
-    kinds every weight is missing and every score is the prior.
+    The labels used are broadcast, so no text is shuffled. A token's weight is the log ratio of the rates
+    of toxic and clean texts that hold it under Dirichlet priors (Monroe et al.); weights whose z-score is
+    under LEAST_Z, or which are smaller than LEAST_ODDS, are left out. Chance is fitted on clean texts:
+    scores of their best passages follow a Gumbel law by length, whose tail is fitted. The last step is a
+    two-parameter logistic fit on the same rows.
+    Rows with null labels or ids teach nothing; a document labelled twice counts twice; without labels of
+    both kinds every weight is missing and every score is the prior.
     """
-    known = labels.where(F.col(f"`{label}`").isNotNull()).select(F.col(f"`{key}`").alias("__k"), (F.col(f"`{label}`") == 1).cast("int").alias("toxic"))
-    rows = docs.select(F.col(f"`{key}`").alias("__k"), F.col(f"`{text}`").alias("text")).join(known, "__k").select("text", "toxic", "__k")
-    counts = _token_counts(rows.select("text", "toxic"))
+    known = labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("__k"), (F.col(f"`{label}`") == 1).cast("int").alias("toxic"))
+    known = known.orderBy(F.xxhash64("__k"), "__k", "toxic").limit(labelled_rows)
+    rows = docs.select(F.col(f"`{key}`").alias("__k"), F.col(f"`{text}`").alias("text")).join(F.broadcast(known), "__k").select("text", "toxic")
+    counts = _token_counts(rows)
     total = rows.agg(F.sum("toxic"), F.count("*")).first()
     n_toxic, n_clean = total[0] or 0, total[1] - (total[0] or 0)
     model = ToxicityModel({})
@@ -163,13 +165,12 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     z = odds / F.sqrt(1 / a + 1 / b)
     strong = counts.select("token", odds.alias("w"), z.alias("z")).where((F.abs("z") >= LEAST_Z) & (F.abs("w") >= LEAST_ODDS)).orderBy(F.desc(F.abs("z")), "token").limit(model_tokens).collect()
     model.weights = {bytes(r["token"]): max(-MOST_ODDS, min(MOST_ODDS, r["w"])) for r in strong}
-    sample = rows.orderBy(F.xxhash64("__k"), "__k").limit(calibration_rows)
-    _calibrate(model, sample)
+    _calibrate(model, rows)
     return model
 
 
 def _calibrate(model: ToxicityModel, sample: DataFrame) -> None:
-    """Fit chance on the sample's clean texts, then the score on all of it."""
+    """Fit chance on the clean texts of the labelled rows, then the score on all of them."""
     send = sample.sparkSession.sparkContext.broadcast(model)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
