@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polymera.llm import language_id, media, near_dedup, token_counts, toxicity, url_filter
+from polymera.llm import language_id, media, mixing, near_dedup, token_counts, toxicity, url_filter, vector_search
 from polymera.llm.common import held_out
 
 
@@ -25,6 +25,10 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id"), 4))
     labels = _table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 4))
@@ -50,14 +54,20 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, profiles, keep=["doc_id", "held_out"])
 
 
+def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_columns": op1_media_columns,
+        "op2_mixing": op2_mixing,
         "op4_toxicity": op4_toxicity,
         "op5_near_dedup": op5_near_dedup,
         "op6_url_filter": op6_url_filter,
         "op7_token_counts": op7_token_counts,
         "op8_language_id": op8_language_id,
+        "op10_vector_search": op10_vector_search,
     }
 
 
@@ -86,6 +96,26 @@ SELECT page_id, host, path, rule, strict_hits, soft_hits, CASE
   WHEN strict_hits >= 1 OR soft_hits >= {url_filter.SOFT_HITS} THEN 'block' ELSE 'allow' END AS verdict FROM d"""
 
 
+def _place(block: str) -> str:
+    return f"CAST('0x' || substr(md5('{mixing.SEED}|' || CAST({block} AS VARCHAR) || '|' || CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT)"
+
+
+OP2_SQL = rf"""
+WITH a AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
+t AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM a GROUP BY source),
+u AS (SELECT sum(tokens)::DOUBLE AS whole, min(tokens)::DOUBLE AS least, max(tokens)::DOUBLE AS most FROM t WHERE tokens > 0),
+x AS (SELECT *, CASE WHEN least = most OR least / most >= 1 / {mixing.REPEAT_LIMIT} THEN 0.0
+  ELSE round(1 - ln({mixing.REPEAT_LIMIT}) / ln(most / least), 9) END AS exponent FROM u),
+z AS (SELECT sum(pow(tokens / whole, exponent)) AS z FROM t, x WHERE tokens > 0),
+p AS (SELECT source, tokens, CASE WHEN tokens > 0 THEN round(pow(tokens / whole, exponent) / z, 9) ELSE 0.0 END AS weight,
+  CASE WHEN tokens > 0 THEN round(pow(tokens / most, exponent - 1), 9) ELSE 1.0 END AS repeats FROM t, x, z),
+q AS (SELECT *, floor(repeats)::BIGINT AS full_, floor((repeats - floor(repeats)) * tokens)::BIGINT AS allowed FROM p),
+r AS (SELECT a.doc_id, a.source, n_tokens, weight, repeats, full_, allowed,
+  sum(n_tokens) OVER (PARTITION BY a.source ORDER BY {_place("full_")}, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS upto
+  FROM a JOIN q ON a.source IS NOT DISTINCT FROM q.source),
+s AS (SELECT *, unnest(range(full_ + CASE WHEN allowed > 0 AND upto <= allowed THEN 1 ELSE 0 END)) AS block FROM r)
+SELECT doc_id, source, n_tokens, weight, repeats, block, round((block + {_place("block")} / 1152921504606846976.0) / repeats, 9) AS mix_key FROM s"""
+
 OP5_SQL = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_A}', '{_A.lower()}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
@@ -103,4 +133,4 @@ FROM n LEFT JOIN c ON c.h = n.h AND n.n > 0 LEFT JOIN m ON m.a = c.c"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_near_dedup": OP5_SQL, "op6_url_filter": OP6_SQL}
+    return {"op2_mixing": OP2_SQL, "op5_near_dedup": OP5_SQL, "op6_url_filter": OP6_SQL}
