@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polymera.llm import language_id, media, mixing, near_dedup, token_counts, toxicity, url_filter, vector_search
-from polymera.llm.common import held_out
+from polymera.llm import language_id, lm_score, media, mixing, near_dedup, token_counts, toxicity, url_filter, vector_search
+from polymera.llm.common import fold, held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(_table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) != 2)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id"), 4))
     labels = _table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 4))
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_columns": op1_media_columns,
         "op2_mixing": op2_mixing,
+        "op3_lm_score": op3_lm_score,
         "op4_toxicity": op4_toxicity,
         "op5_near_dedup": op5_near_dedup,
         "op6_url_filter": op6_url_filter,
