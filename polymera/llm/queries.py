@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polymera.llm import language_id, lm_score, media, mixing, near_dedup, token_counts, toxicity, url_filter, vector_search
+from polymera.llm import language_id, lm_score, media, mixing, near_dedup, subword, token_counts, toxicity, url_filter, vector_search
 from polymera.llm.common import fold, held_out
 
 
@@ -58,6 +58,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, profiles, keep=["doc_id", "held_out"])
 
 
+def op9_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword.sample_segmentations(_table(spark, sf_dir, "documents"), _tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_url_filter": op6_url_filter,
         "op7_token_counts": op7_token_counts,
         "op8_language_id": op8_language_id,
+        "op9_sampled_segmentations": op9_sampled_segmentations,
         "op10_vector_search": op10_vector_search,
     }
 
