@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from polymera.llm.common import append_columns
 
-#: Rows sampled for the first tier, its entries and their greatest length in bytes, and the entries
+#: Rows sampled for the first tier (about so many), its entries and their greatest length in bytes, and the entries
 #: of a worker's own cache. They change the speed only, never a count.
 SAMPLE_ROWS, FREQUENT, FREQUENT_BYTES, CACHE = 2_000, 65_536, 64, 400_000
 
@@ -39,12 +39,13 @@ def encoded_lengths(path: str, chunks: list[bytes]) -> list[int]:
 
 
 def frequent_lengths(docs: DataFrame, path: str, text: str = "text", sample_rows: int = SAMPLE_ROWS, entries: int = FREQUENT) -> dict[bytes, int]:
-    """Lengths of the most frequent chunks of a bounded sample (rows of least hash).
+    """Lengths of the most frequent chunks of a sample of about sample_rows rows, chosen by hash.
 
     Of at most `entries` chunks of at most FREQUENT_BYTES bytes: a few MB, whatever the corpus.
     """
     chunk = F.explode(F.split(F.col(f"`{text}`").cast("string"), "[ \\t-\\r]+")).alias("chunk")
-    sample = docs.orderBy(F.xxhash64(f"`{text}`")).limit(sample_rows).select(chunk).where((F.octet_length("chunk") > 0) & (F.octet_length("chunk") <= FREQUENT_BYTES))
+    every = max(1, docs.count() // sample_rows)
+    sample = docs.where(F.pmod(F.xxhash64(f"`{text}`"), F.lit(every)) == 0).select(chunk).where((F.octet_length("chunk") > 0) & (F.octet_length("chunk") <= FREQUENT_BYTES))
     top = sample.groupBy("chunk").count().orderBy(F.desc("count"), "chunk").limit(entries).collect()
     chunks = [r["chunk"].encode() for r in top]
     return dict(zip(chunks, encoded_lengths(path, chunks)))
