@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ SAMPLES, SEED, SHARPNESS = 2, 3, 1.0
 #: A piece of rank r has a probability in proportion to 1 / (r + FLAT): the model's own scores are ranks.
 FLAT = 10.0
 #: Bytes and rows of texts whose lattices are held at once.
-SLICE, ROWS = 3 << 20, 1_024
+SLICE, ROWS = 3 << 19, 512
 
 _SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -130,6 +132,12 @@ class Lattice:
         cp = np.where(raw == ord(" "), ord(_SPACE), raw).astype(np.uint64)
         total, longest = len(cp), pieces.longest
         left = np.repeat(self.start + n, n) - np.arange(total)
+        # rows stand in order of the characters left, so that what follows is ready level by level
+        order = np.argsort(np.minimum(left, 65_535).astype(np.uint16), kind="stable")
+        if len(left) and left.max() >= 65_535:
+            order = np.argsort(left, kind="stable")
+        self.row = np.empty(total, np.int64)
+        self.row[order] = np.arange(total)
         self.edge = np.full((total, longest), -1, np.int32)
         w = np.zeros((total, longest))
         here, h = np.arange(total), np.zeros(total, np.uint64)
@@ -140,38 +148,36 @@ class Lattice:
             found = pieces.find(h)
             if k == 0:
                 found[spelled[here]] = _NONE
-            piece = found >= 0
-            self.edge[here[piece], k] = found[piece]
-            w[here[piece], k] = pieces.p[found[piece]] * _TILT ** (k + 1)
+            piece = np.flatnonzero(found >= 0)
+            at = self.row[here[piece]]
+            self.edge[at, k] = found[piece]
+            w[at, k] = pieces.p[found[piece]] * _TILT ** (k + 1)
             going = found != _NONE
             here, h = here[going], h[going]
             if not len(here):
                 break
         longest = k + 1
         self.edge, w = self.edge[:, :longest], w[:, :longest]
-        alone = np.flatnonzero(self.edge[:, 0] < 0)
-        self.edge[alone, 0] = raw[alone].astype(np.int32) + _BYTE_EDGE
-        w[alone, 0] = (1 / len(pieces.p)) ** _utf8_sizes(raw[alone]) * _TILT
-        # Sums of what may follow, from the right, with one more place for each chunk's end. Weights are
-        # tilted by a factor for each character, the same for all segmentations, so that they stay near 1.
+        alone = np.flatnonzero(self.edge[self.row, 0] < 0)
+        self.edge[self.row[alone], 0] = raw[alone].astype(np.int32) + _BYTE_EDGE
+        w[self.row[alone], 0] = (1 / len(pieces.p)) ** _utf8_sizes(raw[alone]) * _TILT
+        # Sums of what may follow, with one more place for each chunk's end. Weights are tilted by a factor
+        # for each character, the same for all segmentations, so that they stay near 1.
+        place = np.arange(total) + np.repeat(np.arange(len(chunks)), n)
         after = np.zeros(total + len(chunks))
-        own = self.start + np.arange(len(chunks))
-        after[own + n] = 1.0
-        by_length = np.argsort(-n, kind="stable")
-        ends, base, lengths, active = (own + n)[by_length], np.arange(len(chunks))[by_length], n[by_length], len(chunks)
-        self.share = np.zeros((total, longest))
-        steps = np.arange(longest)
-        for t in range(1, int(n.max(initial=0)) + 1):
-            while active and lengths[active - 1] < t:
-                active -= 1
-            at, m = ends[:active] - t, min(t, longest)
-            terms = w[at - base[:active], :m] * after[at[:, None] + (1 + steps[:m])]
-            s = terms.sum(1)
+        after[self.start + n + np.arange(len(chunks))] = 1.0
+        place, steps, first = place[order], np.arange(longest), 0
+        for t, rows in enumerate(np.bincount(left)[1:].tolist(), 1):
+            at, part, m = place[first : first + rows], w[first : first + rows], min(t, longest)
+            part[:, :m] *= after[at[:, None] + (1 + steps[:m])]
+            s = part.sum(1)
+            part /= s[:, None]
             after[at] = s
-            self.share[at - base[:active], :m] = terms / s[:, None]
+            first += rows
             if t % 64 == 0:  # only the ratios of what follows matter: scale before it leaves the numbers' range
-                after[at[:, None] + steps[: min(t, longest)]] /= s[:, None]
-        self.running = np.cumsum(self.share, axis=1)
+                after[at[:, None] + steps[:m]] /= s[:, None]
+        self.share = w
+        self.running = np.cumsum(w, axis=1, dtype=np.float32)
 
 
 def _utf8_sizes(cp: np.ndarray) -> np.ndarray:
@@ -185,29 +191,34 @@ def _uniform(seeds: np.ndarray, sample: int, token: np.ndarray, place: np.ndarra
 
 
 class Paths:
-    """Steps of one segmentation of each text: (doc, token, place in the chunk, length, edge, probability)."""
+    """Steps of one segmentation of each text in order: (chunk's number in all texts, place in it, length, edge, probability).
 
-    def __init__(self, doc, token, chunk, place, length, edge, p):
-        order = np.argsort((doc.astype(np.int64) << 48) | (token.astype(np.int64) << 20) | place)
-        self.doc, self.token, self.chunk, self.place, self.length, self.edge, self.p = (a[order] for a in (doc, token, chunk, place, length, edge, p))
+    Columns must come with each chunk's steps in order of place; chunks may come in any.
+    """
+
+    def __init__(self, number, place, length, edge, p):
+        order = np.argsort(number, kind="stable")
+        self.number, self.place, self.length, self.edge, self.p = (a[order] for a in (number, place, length, edge, p))
 
 
-def _walk(lattice: Lattice, seeds: np.ndarray, sample: int, doc: np.ndarray, token: np.ndarray, chunk: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-    """Draw on from a place of each chunk to its end: columns as in Paths."""
+def _walk(lattice: Lattice, seeds: np.ndarray, sample: int, token: np.ndarray, chunk: np.ndarray, number: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """Draw on from a place of each chunk to its end: columns as in Paths. seeds and token are by number."""
     out = []
+    at, left = lattice.start[chunk] + place, lattice.size[chunk] - place
     while True:
-        on = place < lattice.size[chunk]
+        on = left > 0
         if not on.all():
-            doc, token, chunk, place = doc[on], token[on], chunk[on], place[on]
-        if not len(doc):
+            at, left, number, place = at[on], left[on], number[on], place[on]
+        if not len(number):
             break
-        at = lattice.start[chunk] + place
-        u = _uniform(seeds[doc], sample, token, place)
-        running = lattice.running[at]
+        u = _uniform(seeds[number], sample, token[number], place)
+        row = lattice.row[at]
+        running = lattice.running[row]
         k = np.minimum((running < (u * running[:, -1])[:, None]).sum(1), running.shape[1] - 1)
-        out.append((doc, token, chunk, place, k + 1, lattice.edge[at, k], lattice.share[at, k]))
-        place = place + k + 1
-    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 6 + [np.zeros(0)]
+        out.append((number, place, k + 1, lattice.edge[row, k], lattice.share[row, k]))
+        k += 1
+        place, at, left = place + k, at + k, left - k
+    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
 
 
 def _gumbel(log_mass: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -228,6 +239,10 @@ class Frontier:
         for name, a in (("doc", doc), ("value", value), ("mass", mass), ("path", np.full(len(doc), path)), ("step", step)):
             setattr(self, name, np.concatenate((getattr(self, name), a[keep])))
 
+    def keep(self, which: np.ndarray) -> None:
+        for name in ("doc", "value", "mass", "path", "step"):
+            setattr(self, name, getattr(self, name)[which])
+
     def best(self) -> np.ndarray:
         """Index of each text's node of the greatest value."""
         top = np.full(int(self.doc.max(initial=-1)) + 1, -np.inf)
@@ -244,95 +259,93 @@ def sample_texts(pieces: Pieces, texts: list[bytes], seeds: np.ndarray, k: int)
     opens the best unopened node; nodes at one step of a path that are still closed are kept as one.
     inclusion is the chance of a value over the best one that was not emitted.
     """
-    ids_of: dict[str, int] = {}
-    rows = []
-    for t in texts:
-        found = pieces.chunk.findall(" " + s) if (s := t.decode("utf-8", "replace")) else []
-        rows.append([ids_of.setdefault(c, len(ids_of)) for c in found])
+    ids_of: dict[str, int] = defaultdict()
+    ids_of.default_factory = ids_of.__len__
+    rows = [list(map(ids_of.__getitem__, pieces.chunk.findall(" " + d))) if (d := t.decode("utf-8", "replace")) else [] for t in texts]
     n = np.array([len(r) for r in rows])
-    chunk = np.array([c for r in rows for c in r], np.int64)
+    chunk = np.fromiter(chain.from_iterable(rows), np.int64, int(n.sum()))
     doc = np.repeat(np.arange(len(texts)), n)
     first_token = np.cumsum(n) - n
-    token = np.arange(len(chunk)) - np.repeat(first_token, n)
+    number = np.arange(len(chunk))
+    token = number - np.repeat(first_token, n)
     every = np.arange(len(texts))
     if not len(chunk):
         return [(int(i), 1, np.zeros(0, np.int32), 0.0, 0.0, 0.0) for i in every]
     lattice = Lattice(pieces, list(ids_of))
+    seed_of = seeds[doc]
     value = -np.log(-np.log(_uniform(seeds, 0, np.zeros(len(texts), np.int64), np.full(len(texts), 1 << 20))))
     paths: list[Paths] = []
     results: list[list] = []
     frontier = Frontier()
-    chosen, base = every, np.zeros(len(texts))
-    path = Paths(*_walk(lattice, seeds, 0, doc, token, chunk, np.zeros(len(chunk), np.int64)))
-    fresh = np.ones(len(path.doc), bool)  # steps whose closed nodes are not on the frontier yet
+    chosen = every
+    path = Paths(*_walk(lattice, seed_of, 0, token, chunk, number, np.zeros(len(chunk), np.int64)))
+    fresh = np.ones(len(path.number), bool)  # steps whose closed nodes are not on the frontier yet
     taken: dict[tuple[int, int], list[int]] = {}
     for rank in range(1, k + 1):
         paths.append(path)
-        logs = np.log(path.p)
-        starts = np.searchsorted(path.doc, chosen)
-        ends = np.searchsorted(path.doc, chosen, "right")
-        sums = np.concatenate(([0.0], np.cumsum(logs)))
+        path_doc = doc[path.number]
+        starts, ends = np.searchsorted(path_doc, chosen), np.searchsorted(path_doc, chosen, "right")
+        sums = np.concatenate(([0.0], np.cumsum(np.log(path.p))))
         results.append([chosen, sums[ends] - sums[starts], value[chosen], starts, ends])
         begun = np.zeros(len(texts))
         begun[chosen] = sums[starts]
-        before = sums[:-1] - begun[path.doc]
         new = np.flatnonzero(fresh & (path.p < 1 - 1e-12))
-        mass = before[new] + np.log1p(-path.p[new])
-        u = _uniform(seeds[path.doc[new]], rank + 1000, path.token[new], path.place[new])
-        frontier.add(path.doc[new], _gumbel(mass, value[path.doc[new]], u), mass, rank - 1, new)
+        of_new, number_new = path_doc[new], path.number[new]
+        mass = sums[new] - begun[of_new] + np.log1p(-path.p[new])
+        u = _uniform(seed_of[number_new], rank + 1000, token[number_new], path.place[new])
+        frontier.add(of_new, _gumbel(mass, value[of_new], u), mass, rank - 1, new)
         if rank == k:
             break
         best = frontier.best()
         if not len(best):
             break
         d, v, m, of, step = (getattr(frontier, name)[best] for name in ("doc", "value", "mass", "path", "step"))
-        parts, marks = [], []
-        rest_value, rest_mass = np.full(len(best), -np.inf), np.full(len(best), -np.inf)
-        heads, tails, turn = [], [], []
+        rest_mass = np.full(len(best), -np.inf)
+        heads, turn = [], []
         for j in range(len(best)):
             p, s = paths[of[j]], step[j]
-            at = lattice.start[p.chunk[s]] + p.place[s]
+            which = p.number[s]
+            at = lattice.row[lattice.start[chunk[which]] + p.place[s]]
             open_ = lattice.share[at].copy()
             gone = taken.setdefault((int(of[j]), int(s)), [int(p.length[s]) - 1])
             open_[gone] = 0
-            u = _uniform(seeds[d[j : j + 1]], rank + 2000, p.token[s : s + 1], p.place[s : s + 1])[0]
-            pick = int(min(np.searchsorted(np.cumsum(open_), u * open_.sum()), len(open_) - 1))
+            u = _uniform(seeds[d[j : j + 1]], rank + 2000, token[which : which + 1], p.place[s : s + 1])[0]
+            whole = open_.sum()
+            pick = int(min(np.searchsorted(np.cumsum(open_), u * whole), len(open_) - 1))
             while open_[pick] <= 0:
                 pick -= 1
             gone.append(pick)
-            left = open_.sum() - open_[pick]
-            if left > 1e-15:
-                rest_mass[j] = m[j] + np.log(left / open_.sum())
-            a = np.searchsorted(p.doc, d[j])
-            heads.append((of[j], a, s))
-            turn.append((d[j], p.token[s], p.chunk[s], p.place[s], pick + 1, lattice.edge[at, pick], lattice.share[at, pick]))
+            if whole - open_[pick] > 1e-15:
+                rest_mass[j] = m[j] + np.log((whole - open_[pick]) / whole)
+            heads.append((of[j], np.searchsorted(p.number, first_token[d[j]]), s))
+            turn.append((which, p.place[s], pick + 1, lattice.edge[at, pick], lattice.share[at, pick]))
         # what stays closed at the opened steps
         u = _uniform(seeds[d], rank + 3000, np.zeros(len(d), np.int64), step)
         rest_value = _gumbel(rest_mass, v, u)
-        keep = np.ones(len(frontier.doc), bool)
-        keep[best] = False
-        for name in ("doc", "value", "mass", "path", "step"):
-            setattr(frontier, name, getattr(frontier, name)[keep])
+        closed = np.ones(len(frontier.doc), bool)
+        closed[best] = False
+        frontier.keep(closed)
         for which in np.unique(of):
             here = of == which
             frontier.add(d[here], rest_value[here], rest_mass[here], which, step[here])
-        columns = ("doc", "token", "chunk", "place", "length", "edge", "p")
-        head = [np.concatenate([getattr(paths[o], c)[a:s] for o, a, s in heads]) for c in columns]
+        head = [np.concatenate([getattr(paths[o], c)[a:s] for o, a, s in heads]) for c in ("number", "place", "length", "edge", "p")]
         turned = [np.array(c) for c in zip(*turn)]
-        t_doc, t_token = turned[0].astype(np.int64), turned[1].astype(np.int64)
-        from_token = np.full(len(texts), np.iinfo(np.int64).max)
-        from_token[t_doc] = t_token + 1
-        later = token >= from_token[doc]
-        starts_at = np.concatenate((turned[3] + turned[4], np.zeros(int(later.sum()), np.int64))).astype(np.int64)
-        tail = _walk(lattice, seeds, rank, np.concatenate((t_doc, doc[later])), np.concatenate((t_token, token[later])), np.concatenate((turned[2].astype(np.int64), chunk[later])), starts_at)
+        after = np.full(len(texts), len(chunk))
+        after[d] = turned[0] + 1
+        later = number[number >= after[doc]]
+        from_place = np.concatenate((turned[1] + turned[2], np.zeros(len(later), np.int64)))
+        going = np.concatenate((turned[0], later))
+        order = np.argsort(going, kind="stable")
+        tail = _walk(lattice, seed_of, rank, token, chunk[going[order]], going[order], from_place[order])
         value = value.copy()
         value[d] = v
-        chosen = np.sort(t_doc)
+        chosen = np.sort(d)
         path = Paths(*[np.concatenate((h, t, r)) for h, t, r in zip(head, turned, tail)])
         # steps of the shared head and the turn itself are on the frontier already
-        turn_at = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        turn_at[0][t_doc], turn_at[1][t_doc] = t_token, turned[3].astype(np.int64)
-        fresh = (path.token > turn_at[0][path.doc]) | ((path.token == turn_at[0][path.doc]) & (path.place > turn_at[1][path.doc]))
+        turn_number, turn_place = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        turn_number[d], turn_place[d] = turned[0], turned[1]
+        at_doc = doc[path.number]
+        fresh = (path.number > turn_number[at_doc]) | ((path.number == turn_number[at_doc]) & (path.place > turn_place[at_doc]))
     threshold = np.full(len(texts), -np.inf)
     np.maximum.at(threshold, frontier.doc, frontier.value)
     out = []
