@@ -12,6 +12,10 @@ from polymera.operators.components import connected_components
 from polymera.storage import written
 
 
+#: Rounds of power iteration between two written tables.
+ROUNDS_A_WRITE = 3
+
+
 def vertices(edges: DataFrame) -> DataFrame:
     """Every end of an edge, as id."""
     return edges.select(F.col("src").alias("id")).unionAll(edges.select("dst")).distinct()
@@ -45,11 +49,14 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-7, m
     out = _degrees(edges).withColumnRenamed("src", "id")
     links = written(edges.select("src", "dst"), "links")
     ranks = written(base.join(out, "id", "left").select("id", "base", "degree", F.col("base").alias("rank")), "ranks")
-    for _ in range(max_iterations):
-        loose = ranks.where("degree IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+    for i in range(1, max_iterations + 1):
+        loose = ranks.where("degree IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
         given = links.join(ranks, links["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
-        new = ranks.join(given, ranks["id"] == given["dst"], "left")
-        new = new.select("id", "base", "degree", F.col("rank").alias("old"), ((1 - damping + damping * loose) * F.col("base") + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
+        new = ranks.join(given, ranks["id"] == given["dst"], "left").crossJoin(F.broadcast(loose))  # one row
+        new = new.select("id", "base", "degree", F.col("rank").alias("old"), ((1 - damping + damping * F.col("loose")) * F.col("base") + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
+        if i % ROUNDS_A_WRITE and i < max_iterations:
+            ranks = new.drop("old")
+            continue
         new = written(new, "ranks")
         change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
         ranks = new.drop("old")

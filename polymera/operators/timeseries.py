@@ -101,9 +101,9 @@ def interpolate(value: Column, seconds: Column, w: WindowSpec, method: str = "li
 def generate_buckets(df: DataFrame, start: int, end: int, width: int, keys: Sequence[str] = (), bucket: str = "bucket") -> DataFrame:
     """Every bucket start in [start, end) for each different key of df."""
     first = (start // width) * width
-    numbers = F.sequence(F.lit(first), F.lit(end - 1), F.lit(width)) if end > first else F.array().cast("array<bigint>")
+    numbers = F.sequence(F.lit(first).cast("long"), F.lit(end - 1).cast("long"), F.lit(width).cast("long")) if end > first else F.array().cast("array<bigint>")
     base = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
-    return base.select(*keys, F.explode(numbers).cast("long").alias(bucket))
+    return base.select(*keys, F.explode(numbers).alias(bucket))
 
 
 def gap_fill(buckets: DataFrame, start: int, end: int, width: int, values: Sequence[str], fill: str | float | None = None, keys: Sequence[str] = (), bucket: str = "bucket") -> DataFrame:
