@@ -20,7 +20,7 @@ SAMPLES, SEED, SHARPNESS = 2, 3, 1.0
 #: A piece of rank r has a probability in proportion to 1 / (r + FLAT): the model's own scores are ranks.
 FLAT = 10.0
 #: Bytes and rows of texts whose lattices are held at once.
-SLICE, ROWS = 3 << 19, 512
+SLICE, ROWS = 1 << 21, 1_024
 
 _SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -138,8 +138,7 @@ class Lattice:
             order = np.argsort(left, kind="stable")
         self.row = np.empty(total, np.int64)
         self.row[order] = np.arange(total)
-        self.edge = np.full((total, longest), -1, np.int32)
-        w = np.zeros((total, longest))
+        edges, weights = np.empty((longest, total), np.int32), np.zeros((longest, total))
         here, h = np.arange(total), np.zeros(total, np.uint64)
         for k in range(longest):
             going = left[here] > k
@@ -149,35 +148,62 @@ class Lattice:
             if k == 0:
                 found[spelled[here]] = _NONE
             piece = np.flatnonzero(found >= 0)
-            at = self.row[here[piece]]
-            self.edge[at, k] = found[piece]
-            w[at, k] = pieces.p[found[piece]] * _TILT ** (k + 1)
+            at, ids = self.row[here[piece]], found[piece]
+            edges[k] = _NONE
+            edges[k][at] = ids
+            weights[k][at] = pieces.p[ids] * _TILT ** (k + 1)
             going = found != _NONE
             here, h = here[going], h[going]
             if not len(here):
                 break
         longest = k + 1
-        self.edge, w = self.edge[:, :longest], w[:, :longest]
-        alone = np.flatnonzero(self.edge[self.row, 0] < 0)
-        self.edge[self.row[alone], 0] = raw[alone].astype(np.int32) + _BYTE_EDGE
-        w[self.row[alone], 0] = (1 / len(pieces.p)) ** _utf8_sizes(raw[alone]) * _TILT
+        alone = np.flatnonzero(edges[0][self.row] < 0)
+        edges[0][self.row[alone]] = raw[alone].astype(np.int32) + _BYTE_EDGE
+        weights[0][self.row[alone]] = (1 / len(pieces.p)) ** _utf8_sizes(raw[alone]) * _TILT
         # Sums of what may follow, with one more place for each chunk's end. Weights are tilted by a factor
         # for each character, the same for all segmentations, so that they stay near 1.
         place = np.arange(total) + np.repeat(np.arange(len(chunks)), n)
         after = np.zeros(total + len(chunks))
         after[self.start + n + np.arange(len(chunks))] = 1.0
-        place, steps, first = place[order], np.arange(longest), 0
+        place, first = place[order], 0
         for t, rows in enumerate(np.bincount(left)[1:].tolist(), 1):
-            at, part, m = place[first : first + rows], w[first : first + rows], min(t, longest)
-            part[:, :m] *= after[at[:, None] + (1 + steps[:m])]
-            s = part.sum(1)
-            part /= s[:, None]
+            at, end, m = place[first : first + rows], first + rows, min(t, longest)
+            s = np.zeros(rows)
+            for k in range(m):
+                weights[k][first:end] *= after[at + (k + 1)]
+                s += weights[k][first:end]
+            for k in range(m):
+                weights[k][first:end] /= s
             after[at] = s
-            first += rows
+            first = end
             if t % 64 == 0:  # only the ratios of what follows matter: scale before it leaves the numbers' range
-                after[at[:, None] + steps[:m]] /= s[:, None]
-        self.share = w
-        self.running = np.cumsum(w, axis=1, dtype=np.float32)
+                for k in range(m):
+                    after[at + k] /= s
+        #: By length and row: the edge, and its share of what may follow.
+        self.edge, self.share = edges[:longest], weights[:longest]
+        #: By row: the likeliest edge and its share.
+        self.best = np.zeros(total, np.int8)
+        self.best_share = self.share[0].copy() if longest else np.zeros(0)
+        for k in range(1, longest):
+            better = self.share[k] > self.best_share
+            self.best[better] = k
+            np.maximum(self.best_share, self.share[k], out=self.best_share)
+
+    def draw(self, row: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges' lengths less 1 and shares for uniform numbers: the likeliest edge has the first part of [0, 1), the others the rest."""
+        k, p = self.best[row].astype(np.int64), self.best_share[row]
+        other = np.flatnonzero(u >= p)
+        if len(other):
+            rest = self.share[:, row[other]]
+            rest[k[other], np.arange(len(other))] = 0
+            running = np.cumsum(rest, axis=0)
+            v = (u[other] - p[other]) / (1 - p[other]) * running[-1]
+            some = running[-1] > 0  # else rounding alone led here
+            pick = np.minimum((running <= v).sum(0), len(rest) - 1)
+            pick = np.where(rest[pick, np.arange(len(other))] > 0, pick, rest.argmax(0))
+            k[other[some]] = pick[some]
+            p[other[some]] = rest[pick, np.arange(len(other))][some]
+        return k, p
 
 
 def _utf8_sizes(cp: np.ndarray) -> np.ndarray:
@@ -213,9 +239,8 @@ def _walk(lattice: Lattice, seeds: np.ndarray, sample: int, token: np.ndarray, c
             break
         u = _uniform(seeds[number], sample, token[number], place)
         row = lattice.row[at]
-        running = lattice.running[row]
-        k = np.minimum((running < (u * running[:, -1])[:, None]).sum(1), running.shape[1] - 1)
-        out.append((number, place, k + 1, lattice.edge[row, k], lattice.share[row, k]))
+        k, p = lattice.draw(row, u)
+        out.append((number, place, k + 1, lattice.edge[k, row], p))
         k += 1
         place, at, left = place + k, at + k, left - k
     return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
@@ -306,7 +331,7 @@ def sample_texts(pieces: Pieces, texts: list[bytes], seeds: np.ndarray, k: int)
             p, s = paths[of[j]], step[j]
             which = p.number[s]
             at = lattice.row[lattice.start[chunk[which]] + p.place[s]]
-            open_ = lattice.share[at].copy()
+            open_ = lattice.share[:, at].copy()
             gone = taken.setdefault((int(of[j]), int(s)), [int(p.length[s]) - 1])
             open_[gone] = 0
             u = _uniform(seeds[d[j : j + 1]], rank + 2000, token[which : which + 1], p.place[s : s + 1])[0]
@@ -318,7 +343,7 @@ def sample_texts(pieces: Pieces, texts: list[bytes], seeds: np.ndarray, k: int)
             if whole - open_[pick] > 1e-15:
                 rest_mass[j] = m[j] + np.log((whole - open_[pick]) / whole)
             heads.append((of[j], np.searchsorted(p.number, first_token[d[j]]), s))
-            turn.append((which, p.place[s], pick + 1, lattice.edge[at, pick], lattice.share[at, pick]))
+            turn.append((which, p.place[s], pick + 1, lattice.edge[pick, at], lattice.share[pick, at]))
         # what stays closed at the opened steps
         u = _uniform(seeds[d], rank + 3000, np.zeros(len(d), np.int64), step)
         rest_value = _gumbel(rest_mass, v, u)
