@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_HEAD = r"^((?:\\.|[^\\, ])+)((?:,(?:\\.|[^\\ ])*)?) +((?:\"(?:\\.|[^\"\\])*\"|\\.|[^\\ \"])+)(?: +(-?\d+))?\s*$"
+_HEAD = r"^((?:\\.|[^\\, ])+)((?:,(?:\\.|[^\\ ])*)?) +((?:\\.|[^\\=, ])+=(?:\"(?:\\.|[^\"\\])*\"|\\.|[^\\ \"])+)(?: +(-?\d+))?\s*$"
 _PAIR = r"((?:\\.|[^\\=, ])+)=(\"(?:\\.|[^\"\\])*\"|(?:\\.|[^\\, \"])*)"
 
 
