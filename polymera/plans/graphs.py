@@ -51,18 +51,18 @@ def graph_lcc(t: Tables):
     return graph.lcc(_edges(t)).select("node_id", F.round("coefficient", 9).alias("coefficient"))
 
 
-_BFS = f"WITH RECURSIVE e AS {_E}, b AS (SELECT 90::BIGINT AS id, 0 AS depth UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.id WHERE b.depth < 30)"
+_BFS = f"WITH RECURSIVE e AS {_E}, b AS (SELECT 5::BIGINT AS id, 0 AS depth UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.id WHERE b.depth < 30)"
 
 
 @query("graph_bfs", f"{_BFS} SELECT id, min(depth)::INT AS depth FROM b GROUP BY id")
 def graph_bfs(t: Tables):
     e = _edges(t)
-    return graph.bfs(e, graph.vertices(e).where("id = 90"), 30)
+    return graph.bfs(e, graph.vertices(e).where("id = 5"), 30)
 
 
-@query("graph_sssp", f"WITH RECURSIVE e AS (SELECT src, dst, 1.0 + (src * 3 + dst) % 5 AS w FROM {_E}), b AS (SELECT 90::BIGINT AS id, 0.0::DOUBLE AS d, 0 AS h UNION SELECT e.dst, b.d + e.w, b.h + 1 FROM b JOIN e ON e.src = b.id WHERE b.h < 14) SELECT id AS node_id, min(d) AS distance FROM b GROUP BY id")
+@query("graph_sssp", f"WITH RECURSIVE e AS (SELECT src, dst, 1.0 + (src * 3 + dst) % 5 AS w FROM {_E}), b AS (SELECT 5::BIGINT AS id, 0.0::DOUBLE AS d, 0 AS h UNION SELECT e.dst, b.d + e.w, b.h + 1 FROM b JOIN e ON e.src = b.id WHERE b.h < 14) SELECT id AS node_id, min(d) AS distance FROM b GROUP BY id")
 def graph_sssp(t: Tables):
-    return graph.sssp(_edges(t).withColumn("weight", 1.0 + (F.col("src") * 3 + F.col("dst")) % 5), 90)
+    return graph.sssp(_edges(t).withColumn("weight", 1.0 + (F.col("src") * 3 + F.col("dst")) % 5), 5)
 
 
 @query("graph_neighbors", f"SELECT DISTINCT CASE WHEN src = 5 THEN dst ELSE src END AS id FROM {_E} WHERE src = 5 OR dst = 5")
@@ -114,10 +114,10 @@ def graph_match(t: Tables):
     return match.match(nodes, places.unionByName(holds), "(c:Customer)-[:placed]->(o)-[:holds]->(p)").select("c", "o", "p")
 
 
-@query("graph_match_range", f"WITH e AS {_E} SELECT a.src AS a, b.dst AS b FROM e a JOIN e b ON a.dst = b.src WHERE a.src = 90 UNION SELECT src, dst FROM e WHERE src = 90")
+@query("graph_match_range", f"WITH e AS {_E} SELECT a.src AS a, b.dst AS b FROM e a JOIN e b ON a.dst = b.src WHERE a.src = 5 UNION SELECT src, dst FROM e WHERE src = 5")
 def graph_match_range(t: Tables):
     e = _edges(t).withColumn("label", F.lit("x"))
-    nodes = graph.vertices(e).withColumn("label", F.when(F.col("id") == 90, "Start").otherwise("Other"))
+    nodes = graph.vertices(e).withColumn("label", F.when(F.col("id") == 5, "Start").otherwise("Other"))
     return match.match(nodes, e, "(a:Start)-[:x*1..2]->(b)").select("a", "b")
 
 
