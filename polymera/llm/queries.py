@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polymera.llm import language_id, lm_score, media, mixing, near_dedup, subword, token_counts, toxicity, url_filter, vector_search
-from polymera.llm.common import fold, held_out
+from polymera.llm.common import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +30,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_texts(_table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) != 2)
+    return lm_score.score_texts(_table(spark, sf_dir, "documents"), ~held_out(F.col("doc_id"), 7))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
