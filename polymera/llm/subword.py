@@ -20,7 +20,7 @@ SAMPLES, SEED, SHARPNESS = 2, 3, 1.0
 #: A piece of rank r has a probability in proportion to 1 / (r + FLAT): the model's own scores are ranks.
 FLAT = 10.0
 #: Bytes and rows of texts whose lattices are held at once.
-SLICE, ROWS = 1 << 21, 1_024
+SLICE, ROWS = 3 << 19, 1_024
 
 _SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
