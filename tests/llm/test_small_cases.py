@@ -286,6 +286,16 @@ def test_word_probabilities_sum_to_one(spark):
     assert abs(np.exp(scores).sum() - 1) < 1e-4
 
 
+def test_every_coded_word_is_a_context():
+    """Words of any rank before, pairs of words and the last but one tell contexts apart."""
+    first = np.array([True, False, False])
+    a, b, c = (lm_score.word_contexts(np.array([x, y, 7], np.int32), first) for x, y in ((50_000, 60_000), (50_000, 60_001), (50_001, 60_000)))
+    assert len(a) == 4
+    assert a[0][2] != b[0][2] and a[1][2] != b[1][2] and a[2][2] == b[2][2]
+    assert a[0][2] == c[0][2] and a[1][2] != c[1][2] and a[2][2] != c[2][2]
+    assert len(lm_score.byte_contexts(np.array([97, 98, 256], np.int32), first)) == 3
+
+
 def test_segmentations(docs, empty):
     rows = subword.sample_segmentations(docs, PIECES, samples=3).collect()
     assert subword.sample_segmentations(empty, PIECES).count() == 0
