@@ -296,6 +296,21 @@ def test_every_coded_word_is_a_context():
     assert len(lm_score.byte_contexts(np.array([97, 98, 256], np.int32), first)) == 3
 
 
+def test_every_text_teaches_counters_and_mixer(spark):
+    df = spark.createDataFrame([(i, " ".join(["one two three four"] * 20)) for i in range(12)], "id long, text string")
+    counts = lm_score.word_counts(df)
+    whole = lm_score.learn(df, counts, F.lit(False))
+    same = lm_score.learn(df, counts, F.lit(True))
+    assert whole.tables.any() and (whole.tables == same.tables).all()
+    split = lm_score.learn(df, counts, F.col("id") % 2 == 0)
+    assert (whole.tables == split.tables).all()
+    moved = np.abs(split.weights - lm_score._START).max(1) > 0
+    assert moved.any() and np.abs(split.weights[moved][:, 1:] - lm_score._START[1:]).max() > 0
+    cells = lm_score._Mixer(lm_score._START)
+    cells.learn(np.ones(5_000_000, np.int8), np.ones((5, 5_000_000), np.float32), np.zeros(5_000_000, np.int32))
+    assert cells.seen[0] == cells.every.sum() == 5_000_000
+
+
 def test_segmentations(docs, empty):
     rows = subword.sample_segmentations(docs, PIECES, samples=3).collect()
     assert subword.sample_segmentations(empty, PIECES).count() == 0
