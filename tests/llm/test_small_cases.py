@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -311,6 +312,20 @@ def test_every_text_teaches_counters_and_mixer(spark):
     assert cells.seen[0] == cells.every.sum() == 5_000_000
 
 
+def test_all_words_give_letter_counts(spark):
+    """Also above 100,000 distinct words, with one very frequent."""
+    counts = spark.range(120_000).select(F.format_string("w%d", "id").cast("binary").alias("word"), F.when(F.col("id") == 7, 10**6).otherwise(F.col("id") % 3 + 1).alias("n"))
+    want = Counter()
+    for r in counts.collect():
+        for b in bytes(r["word"]):
+            want[b] += r["n"]
+    docs = spark.createDataFrame([], "text string")
+    model = lm_score.learn(docs, counts, F.lit(False), coded=10)
+    rare = model.listed + model.new
+    code = lm_score.Code.of([want[b] + 1 if b < 256 else rare + 1 for b in range(257)])
+    assert np.array_equal(code.static, model.byte_code.static) and np.array_equal(code.bits, model.byte_code.bits)
+
+
 def test_segmentations(docs, empty):
     rows = subword.sample_segmentations(docs, PIECES, samples=3).collect()
     assert subword.sample_segmentations(empty, PIECES).count() == 0
