@@ -15,7 +15,8 @@ from polymera.llm.common import written
 #: share of the lists probed for a query, components of a sub-vector, codes of a sub-space, k-means rounds.
 #: The share suits vectors without clusters, of which a list holds few neighbours: recall there is 0.96.
 SAMPLE, LIST_SIZE, MOST_LISTS, PROBED, SUB, CODES, ROUNDS, SEED = 40_000, 1_024, 4_096, 0.75, 4, 256, 8, 5
-#: Distinct vectors of a block reranked exactly for a query; vectors and queries of a block at most.
+#: Distinct vectors of a block reranked exactly at first for a query, whose k-th best then tells which others
+#: can reach it; vectors and queries of a block at most.
 SHORTLIST, BLOCK, QUERIES = 128, 8_192, 1_024
 #: Rows of the sample kept whole: a query's k-th best of them is a floor under which nothing is returned.
 REFERENCE = 10_000
@@ -72,6 +73,11 @@ class Index:
             out += (queries[:, a:b] @ book.T).astype(np.float32)[:, codes[:, i]]
         return out
 
+    def misses(self, codes: np.ndarray, x: np.ndarray, list_no: int) -> np.ndarray:
+        """Rows x sub-spaces: how far each row of a list is from what its codes say."""
+        residual = x - self.coarse[list_no]
+        return np.stack([np.linalg.norm(residual[:, a:b] - book[codes[:, i]], axis=1) for i, (book, (a, b)) in enumerate(zip(self.books, self.edges))], 1)
+
     def floors(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, list[list[tuple[int, float]]]]:
         """Each query's k-th best product with reference rows of other ids, and those k (or fewer: no floor)."""
         floor, best = np.full(len(queries), -np.inf), []
@@ -114,10 +120,12 @@ def fit(vectors: DataFrame, total: int, sample: int = SAMPLE, list_size: int = L
     return Index(coarse, radius, [k_means(part[:, a:b], CODES) for a, b in edges], edges, kept, x[:REFERENCE])
 
 
-def search_block(index: Index, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int, shortlist: int = SHORTLIST) -> list[tuple[int, int, float]]:
+def search_block(index: Index, list_no: int, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int, shortlist: int = SHORTLIST) -> list[tuple[int, int, float]]:
     """(query, id, score) of each query's k best at or over its floor in a block of one list, ties to the smaller id.
 
-    Equal vectors stand together, so copies never crowd others out of the shortlist.
+    Equal vectors stand together, so copies never crowd others out. After the shortlist, every vector
+    whose approximate product plus the most its coding can miss reaches the k-th best is reranked: the
+    result is exact in the block.
     """
     order = np.argsort(ids, kind="stable")
     ids, vectors, codes = ids[order], vectors[order], codes[order]
@@ -126,10 +134,11 @@ def search_block(index: Index, ids: np.ndarray, vectors: np.ndarray, codes: np.n
     starts = np.searchsorted(group.ravel()[members], np.arange(len(own)))
     ends = np.append(starts[1:], len(ids))
     own_codes = codes[first].astype(np.int64)
+    miss = index.misses(own_codes, own, list_no)
+    widest = np.linalg.norm(own - index.coarse[list_no], axis=1).max() + miss.max()
     out = []
     for at in range(0, len(queries), 64):
         some = slice(at, at + 64)
-        # the list's centroid adds the same to all rows and is left out
         rough = index.approximate(own_codes, queries[some])
         n = min(max(shortlist, k + 1), len(own))
         pick = np.argpartition(-rough, n - 1, axis=1)[:, :n]
@@ -138,13 +147,21 @@ def search_block(index: Index, ids: np.ndarray, vectors: np.ndarray, codes: np.n
             last = -np.partition(-exact, k, axis=1)[:, k]
         else:
             last = np.full(len(exact), -np.inf)
-        for i, j in enumerate(exact >= np.maximum(last, floors[some])[:, None]):
+        last = np.maximum(last, floors[some])
+        sizes = np.stack([np.linalg.norm(queries[some][:, a:b], axis=1) for a, b in index.edges], 1)
+        slack = 1e-5 * np.linalg.norm(queries[some], axis=1) * (widest + np.linalg.norm(index.coarse[list_no]))  # of single precision
+        most = rough + sizes @ miss.T + (queries[some] @ index.coarse[list_no] + slack)[:, None]
+        for i, reach in enumerate(most >= last[:, None]):
             q = query_ids[at + i]
+            near = np.flatnonzero(reach)
+            score = products(own[near], queries[at + i])
+            if len(score) > k + 1:
+                last[i] = max(last[i], -np.partition(-score, k)[k])
             found = []
-            for e in np.flatnonzero(j):
-                g = pick[i, e]
-                found += [(-exact[i, e], int(x)) for x in ids[members[starts[g] : min(ends[g], starts[g] + k + 1)]] if x != q]
-            out += [(int(q), x, -float(score)) for score, x in sorted(found)[:k]]
+            for e in np.flatnonzero(score >= last[i]):
+                g = near[e]
+                found += [(-score[e], int(x)) for x in ids[members[starts[g] : min(ends[g], starts[g] + k + 1)]] if x != q]
+            out += [(int(q), x, -float(v)) for v, x in sorted(found)[:k]]
     return out
 
 
@@ -200,7 +217,7 @@ def nearest_neighbours(table: DataFrame, is_query: Column, key: str = "vec_id",
         found = []
         if len(own) and len(queries):
             codes = np.frombuffer(b"".join(own["codes"]), np.uint8).reshape(len(own), len(index.books))
-            found = search_block(index, own["id"].to_numpy(), np.array(own["v"].tolist()), codes, queries["id"].to_numpy(), np.array(queries["v"].tolist()), queries["floor"].to_numpy(), k)
+            found = search_block(index, int(key[0]), own["id"].to_numpy(), np.array(own["v"].tolist()), codes, queries["id"].to_numpy(), np.array(queries["v"].tolist()), queries["floor"].to_numpy(), k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     names = ["list_no", "block", "part"]

@@ -377,3 +377,16 @@ def test_vector_search(spark):
     few = vector_search.nearest_neighbours(df.where("vec_id < 5"), F.col("vec_id") == 0, k=20).collect()
     assert len(few) == 4
     assert vector_search.nearest_neighbours(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_vector_search_among_near_copies(spark):
+    """A query beside 1,000 near copies finds its true neighbours, more than a shortlist holds."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1600, 64))
+    x[300:1300] = x[300] + rng.normal(size=(1000, 64)) * 0.01
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(2)
+    out = vector_search.nearest_neighbours(df, F.col("vec_id").isin(0, 300, 700), k=20, sample=400, list_size=10_000).collect()
+    for q in (0, 300, 700):
+        s = (x * x[q]).sum(1)
+        want = [i for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:20]
+        assert [r["vec_id"] for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])] == want
