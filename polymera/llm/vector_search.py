@@ -18,7 +18,7 @@ SAMPLE, LIST_SIZE, MOST_LISTS, PROBED, SUB, CODES, ROUNDS, SEED = 40_000, 1_024,
 #: Distinct vectors of a block reranked exactly at first for a query, whose k-th best then tells which others
 #: can reach it; vectors and queries of a block at most.
 SHORTLIST, BLOCK, QUERIES = 128, 8_192, 1_024
-#: Rows of the sample kept whole: a query's k-th best of them is a floor under which nothing is returned.
+#: Rows of the sample kept whole: a query's k-th best of those in its lists is a floor under which nothing is returned.
 REFERENCE = 10_000
 
 
@@ -61,6 +61,7 @@ class Index:
     edges: list[tuple[int, int]]  # its components
     reference_ids: np.ndarray
     reference: np.ndarray
+    reference_lists: np.ndarray
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
         residual = x - self.coarse[lists]
@@ -78,20 +79,26 @@ class Index:
         residual = x - self.coarse[list_no]
         return np.stack([np.linalg.norm(residual[:, a:b] - book[codes[:, i]], axis=1) for i, (book, (a, b)) in enumerate(zip(self.books, self.edges))], 1)
 
-    def floors(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, list[list[tuple[int, float]]]]:
-        """Each query's k-th best product with reference rows of other ids, and those k (or fewer: no floor)."""
-        floor, best = np.full(len(queries), -np.inf), []
+    def floors(self, query_ids: np.ndarray, queries: np.ndarray, picked: np.ndarray, k: int) -> np.ndarray:
+        """Each query's k-th best product with reference rows of other ids in its probed lists; minus infinity if they are fewer.
+
+        As those rows stand in the probed lists too, the search finds k rows over the floor by itself.
+        """
+        floor, inside = np.full(len(queries), -np.inf), np.zeros(len(self.coarse), bool)
         for i, (q, v) in enumerate(zip(query_ids, queries)):
-            rough = self.reference @ v
+            inside[:] = False
+            inside[picked[i]] = True
+            allowed = inside[self.reference_lists] & (self.reference_ids != q)
+            rough = np.where(allowed, self.reference @ v, -np.inf)
             n = min(4 * k, len(rough))
             pick = np.argpartition(-rough, n - 1)[:n]
-            pick = pick[self.reference_ids[pick] != q]
+            pick = pick[allowed[pick]]
             exact = products(self.reference[pick], v)
-            order = np.lexsort((self.reference_ids[pick], -exact))[:k]
-            best.append([(int(self.reference_ids[pick[j]]), float(exact[j])) for j in order])
-            if len(order) == k:
-                floor[i] = exact[order[-1]]
-        return floor, best
+            pick = pick[np.argsort(-exact, kind="stable")]
+            pick = pick[np.sort(np.unique(self.reference_ids[pick], return_index=True)[1])][:k]  # an id counts once
+            if len(pick) == k:
+                floor[i] = products(self.reference[pick[-1:]], v)[0]
+        return floor
 
 
 def products(rows: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -117,7 +124,7 @@ def fit(vectors: DataFrame, total: int, sample: int = SAMPLE, list_size: int = L
     edges = [(a, min(a + SUB, x.shape[1])) for a in range(0, x.shape[1], SUB)]
     part = residual[:20_000]
     kept = rows["id"].to_numpy()[:REFERENCE]
-    return Index(coarse, radius, [k_means(part[:, a:b], CODES) for a, b in edges], edges, kept, x[:REFERENCE])
+    return Index(coarse, radius, [k_means(part[:, a:b], CODES) for a, b in edges], edges, kept, x[:REFERENCE], lists[:REFERENCE])
 
 
 def search_block(index: Index, list_no: int, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int, shortlist: int = SHORTLIST) -> list[tuple[int, int, float]]:
@@ -173,7 +180,7 @@ def nearest_neighbours(table: DataFrame, is_query: Column, key: str = "vec_id",
     rows is many tasks. Scores are double-precision products of the original vectors; ties go to the
     smaller id. Rows with a null id or an unusable vector, and vectors not of the commonest length, take
     no part; rows that share an id count once each and are never neighbours of that id; an empty table
-    gives no rows. With fewer candidates than k, all that the probed lists and the reference rows hold are returned.
+    gives no rows. With fewer candidates than k, all that the probed lists hold are returned.
     """
     spark = table.sparkSession
     rows = table.where(F.col(f"`{key}`").isNotNull() & usable(F.col(f"`{vector}`"))).select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
@@ -198,12 +205,11 @@ def nearest_neighbours(table: DataFrame, is_query: Column, key: str = "vec_id",
             bound = x @ index.coarse.T + np.linalg.norm(x, axis=1)[:, None] * index.radius
             n = int(np.ceil(probed * bound.shape[1]))
             picked = np.argpartition(-bound, n - 1, axis=1)[:, :n]
-            floors, best = index.floors(pdf["id"].to_numpy(), x, k)
-            yield pd.DataFrame({"id": pdf["id"], "v": list(x), "lists": list(picked.astype(np.int32)), "floor": floors, "best": [[{"vec_id": i, "score": s} for i, s in b] for b in best]})
+            floors = index.floors(pdf["id"].to_numpy(), x, picked, k)
+            yield pd.DataFrame({"id": pdf["id"], "v": list(x), "lists": list(picked.astype(np.int32)), "floor": floors})
 
     held = written(rows.select("id", "v").mapInPandas(assign, "id long, v array<double>, list_no int, codes binary"), "ann-lists")
-    asked = written(rows.where("q").select("id", "v").mapInPandas(probe, "id long, v array<double>, lists array<int>, floor double, best array<struct<vec_id: long, score: double>>"), "ann-probes")
-    known = asked.select(F.col("id").alias("query_id"), F.inline("best"))
+    asked = written(rows.where("q").select("id", "v").mapInPandas(probe, "id long, v array<double>, lists array<int>, floor double"), "ann-probes")
     asked = asked.select("id", "v", "floor", F.explode("lists").alias("list_no"))
     deal = held.groupBy("list_no").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).join(asked.groupBy("list_no").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")), "list_no")
     deal = F.broadcast(deal)  # at most MOST_LISTS rows
@@ -222,6 +228,6 @@ def nearest_neighbours(table: DataFrame, is_query: Column, key: str = "vec_id",
 
     names = ["list_no", "block", "part"]
     found = left.groupBy(*names).cogroup(right.groupBy(*names)).applyInPandas(search, "query_id long, vec_id long, score double")
-    found = found.unionByName(known).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     found = found.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)")).where(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
