@@ -15,6 +15,8 @@ from polymera.storage import written
 
 #: Tokenizer file of the last stage.
 PIECES = "piece_bpe_32k.model"
+#: Least score of a told language: below, the others together are likelier. Of one language alone it is always 1.
+LEAST_SCORE = 0.5
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -29,9 +31,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those without any letter go."""
+    """Documents whose language can be told: those without any letter go, and those of a score below LEAST_SCORE.
+
+    Where no document has a lang there is nothing to tell languages by, and all texts with a letter stay.
+    """
     profiles = language_id.learn_profiles(docs)
-    return language_id.identify(_packed(docs), profiles, keep=["row"]).where("lang_pred <> 'und'").select("row.*")
+    if not profiles:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    told = language_id.identify(_packed(docs), profiles, keep=["row"])
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,3 +65,13 @@ def test_held_out_quality(spark):
     toxic = queries.op4_toxicity(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
     right = {r["toxic"]: r["p"] for r in toxic.groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()}
     assert right[0] <= 0.03 and right[1] >= 0.5
+
+
+def test_language_rejects_by_score_and_keeps_all_when_nothing_was_learned(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = spark.createDataFrame([(10**6, "日本語 テキスト です", None, "s", 11), (10**6 + 1, "a1b2 c3d4 e5f6", None, "s", 14), (10**6 + 2, "12 --", None, "s", 5)], docs.schema)
+    left = STAGES["language"](spark, docs.unionByName(odd), sf_dir)
+    assert left.where(f"doc_id >= {10**6}").count() == 0 and left.count() >= 0.98 * docs.count()
+    none = docs.unionByName(odd).withColumn("lang", F.lit(None).cast("string"))
+    kept = {r["doc_id"] for r in STAGES["language"](spark, none, sf_dir).collect()}
+    assert kept == {r["doc_id"] for r in none.collect() if any(c.isalpha() for c in r["text"] or "")}
