@@ -21,8 +21,11 @@ SHINGLE, SIMILAR = 5, 75
 #: one from each: 12 x 12 keys of 4 values from 48 values instead of 576. A pair at similarity 0.75
 #: shares no key with probability 1e-4.
 TABLES, BAND, SEED = 12, 2, 77
-#: Bytes of shingle sets compared in one task, and bits of the filter that spares a second look at texts.
-BLOCK_BYTES, FILTER_BITS = 24 << 20, 1 << 26
+#: Bytes and number of shingle sets compared at once: a larger group is dealt in blocks to many tasks.
+BLOCK_BYTES, BLOCK_SETS = 24 << 20, 256
+#: Bits for each class of the filter that spares a second look at texts, and its least and most bits (as
+#: powers of 2): with more classes it lets more through, which the join on digests then removes.
+CLASS_BITS, LEAST_BITS, MOST_BITS = 12, 20, 29
 
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -78,26 +81,27 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     return source.mapInArrow(run, f"id {kind}, n_shingles long, digest binary, keys array<long>")
 
 
-def _places(digests: list[bytes]) -> np.ndarray:
+def _places(digests: list[bytes], bits: int) -> np.ndarray:
     """Four bit positions of the filter for each digest."""
     raw = np.frombuffer(b"".join(digests), np.uint32).reshape(len(digests), 4)
-    return raw % np.uint32(FILTER_BITS)
+    return raw % np.uint32(bits)
 
 
 def _filter_of(members: DataFrame) -> np.ndarray:
-    """A Bloom filter (of FILTER_BITS, whatever the input) over the members' digests, made in the tasks and merged by words."""
+    """A Bloom filter over the members' digests, sized by their number within bounds, made in the tasks and merged by words."""
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, (CLASS_BITS * members.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS // 64, np.uint64)
+        bits = np.zeros(size // 64, np.uint64)
         for batch in batches:
             if batch.num_rows:
-                at = _places(batch.column(0).to_pylist()).ravel()
+                at = _places(batch.column(0).to_pylist(), size).ravel()
                 np.bitwise_or.at(bits, at >> 6, np.uint64(1) << (at & np.uint32(63)).astype(np.uint64))
         used = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(bits[used].view(np.int64), pa.int64())], names=["i", "word"])
 
     rows = members.select("digest").mapInArrow(run, "i int, word long").groupBy("i").agg(F.bit_or("word").alias("word"))
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out = np.zeros(size // 64, np.uint64)
     table = rows.toArrow()
     out[table.column("i").to_numpy()] = table.column("word").to_numpy().view(np.uint64)
     return out
@@ -106,7 +110,7 @@ def _filter_of(members: DataFrame) -> np.ndarray:
 def member_sets(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
     """(digest, set) of the classes in members (digest, first_id): sets are made anew for one row of each.
 
-    A filter of fixed size, over class digest and first id, spares most other texts; the join on digest
+    A filter of bounded size, over class digest and first id, spares most other texts; the join on digest
     removes what it lets through in error, so texts are never shuffled.
     """
     spark = docs.sparkSession
@@ -123,7 +127,7 @@ def member_sets(docs: DataFrame, members: DataFrame, key: str, text: str) -> Dat
                     if not len(found):
                         continue
                     digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-                    at = _places([hashlib.md5(digest + (name or "").encode()).digest()])[0]
+                    at = _places([hashlib.md5(digest + (name or "").encode()).digest()], 64 * len(bloom))[0]
                     if all(int(bloom[p >> 6]) >> int(p & 63) & 1 for p in at):
                         out.append(digest)
                         made.append(found.tobytes())
@@ -199,16 +203,16 @@ def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"src": [pdf["digest"][x] for x, _ in pairs], "dst": [pdf["digest"][y] for _, y in pairs]}, columns=["src", "dst"])
 
 
-def true_links(members: DataFrame, sets: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def true_links(members: DataFrame, sets: DataFrame, block_bytes: int = BLOCK_BYTES, block_sets: int = BLOCK_SETS) -> DataFrame:
     """Links (src, dst) that connect what true links connect, from members (digest, coarse, n_shingles, keys, weight) and their sets.
 
-    Each coarse component is compared in blocks of about block_bytes. Where one has several blocks, its
+    Each coarse component is compared in blocks of about block_bytes or block_sets sets, whichever is less. Where one has several blocks, its
     heaviest class goes into each and so joins them; then what is still outside the component's largest
     class meets every block, in blocks itself. No task holds more than two blocks.
     """
     size = F.sum(F.col("n_shingles") * 8 + 400)
-    coarse = members.groupBy("coarse").agg(size.alias("bytes"), F.max_by("digest", F.struct("weight", "digest")).alias("hub"))
-    coarse = written(coarse.select("coarse", F.greatest(F.lit(1), F.ceil(F.col("bytes") / block_bytes)).cast("int").alias("blocks"), "hub"), "near-blocks")
+    coarse = members.groupBy("coarse").agg(F.greatest(size / block_bytes, F.count("*") / block_sets).alias("load"), F.max_by("digest", F.struct("weight", "digest")).alias("hub"))
+    coarse = written(coarse.select("coarse", F.greatest(F.lit(1), F.ceil("load")).cast("int").alias("blocks"), "hub"), "near-blocks")
     dealt = members.join(coarse, "coarse").join(sets, "digest").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     everywhere = F.when((F.col("digest") == F.col("hub")) & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     columns = ["digest", "keys", "weight", "shingles", "label"]
@@ -222,7 +226,7 @@ def true_links(members: DataFrame, sets: DataFrame, block_bytes: int = BLOCK_BYT
     main = sizes.groupBy("coarse").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     outside = large.join(main, "coarse").where(F.col("label") != F.col("main"))
     rest = written(outside.withColumn("bytes", F.col("n_shingles") * 8 + 400).drop("main"), "near-rest")
-    parts = rest.groupBy("coarse").agg(F.greatest(F.lit(1), F.ceil(F.sum("bytes") / block_bytes)).cast("int").alias("parts"))
+    parts = rest.groupBy("coarse").agg(F.greatest(F.lit(1), F.ceil(F.sum("bytes") / block_bytes), F.ceil(F.count("*") / block_sets)).cast("int").alias("parts"))
     guests = rest.join(parts, "coarse").withColumn("part", F.pmod(F.xxhash64("digest", F.lit(1)), F.col("parts")).cast("int"))
     guests = guests.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("coarse", "block", "part", *columns)
     hosts = large.join(parts, "coarse").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("coarse", "block", "part", *columns)
