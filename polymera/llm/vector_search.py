@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,12 +13,14 @@ from pyspark.sql import functions as F
 from polymera.llm.common import written
 
 #: Vectors the index is fitted on at most (least hash of the id), mean vectors of a list, lists at most,
-#: share of the lists probed for a query, components of a sub-vector, codes of a sub-space, k-means rounds.
-#: The share suits vectors without clusters, of which a list holds few neighbours: recall there is 0.96.
-SAMPLE, LIST_SIZE, MOST_LISTS, PROBED, SUB, CODES, ROUNDS, SEED = 40_000, 1_024, 4_096, 0.75, 4, 256, 8, 5
+#: components of a sub-vector, codes of a sub-space, k-means rounds.
+SAMPLE, LIST_SIZE, MOST_LISTS, SUB, CODES, ROUNDS, SEED = 40_000, 1_024, 4_096, 4, 256, 8, 5
+#: Share of a query's neighbours that the probed lists are expected to hold: few lists where vectors lie in
+#: clusters, most of them where they do not.
+EXPECTED = 0.97
 #: Distinct vectors of a block reranked exactly at first for a query, whose k-th best then tells which others
 #: can reach it; vectors and queries of a block at most.
-SHORTLIST, BLOCK, QUERIES = 128, 8_192, 1_024
+SHORTLIST, BLOCK, QUERIES = 128, 8_192, 8_192
 #: Rows of the sample kept whole: a query's k-th best of those in its lists is a floor under which nothing is returned.
 REFERENCE = 10_000
 
@@ -57,6 +60,8 @@ class Index:
 
     coarse: np.ndarray  # lists x dimensions
     radius: np.ndarray  # lists
+    filled: np.ndarray  # lists: their shares of the sample
+    total: int  # rows of the table
     books: list[np.ndarray]  # a table of codes for each sub-space
     edges: list[tuple[int, int]]  # its components
     reference_ids: np.ndarray
@@ -79,7 +84,31 @@ class Index:
         residual = x - self.coarse[list_no]
         return np.stack([np.linalg.norm(residual[:, a:b] - book[codes[:, i]], axis=1) for i, (book, (a, b)) in enumerate(zip(self.books, self.edges))], 1)
 
-    def floors(self, query_ids: np.ndarray, queries: np.ndarray, picked: np.ndarray, k: int) -> np.ndarray:
+    def probes(self, ids: np.ndarray, queries: np.ndarray, k: int, expected: float) -> list[np.ndarray]:
+        """Each query's fewest lists that are expected to hold this share of its k nearest.
+
+        The reference tells the product that about k rows of the table reach; how many rows of a list reach
+        it follows from the centroid's product and a normal spread of the list's residuals along the query.
+        """
+        out = []
+        rank = max(1, math.ceil(k * len(self.reference) / max(1, self.total)))
+        for at in range(0, len(queries), 256):
+            some = queries[at : at + 256]
+            found = some @ self.reference.T
+            found[ids[at : at + 256][:, None] == self.reference_ids[None]] = -np.inf
+            rank = min(rank, found.shape[1])
+            reached = -np.partition(-found, rank - 1, axis=1)[:, rank - 1 : rank]
+            spread = np.linalg.norm(some, axis=1)[:, None] * np.maximum(self.radius, 1e-9) / math.sqrt(some.shape[1])
+            z = np.clip((reached - some @ self.coarse.T) / np.maximum(spread, 1e-300), -12, 12)
+            hits = self.filled / (1 + np.exp(0.07056 * z**3 + 1.5976 * z))  # upper tail of the normal law
+            order = np.argsort(-hits, axis=1, kind="stable")
+            share = np.cumsum(np.take_along_axis(hits, order, 1), axis=1)
+            n = (share < expected * share[:, -1:]).sum(1) + 1 if expected < 1 else np.full(len(some), order.shape[1])
+            n = np.maximum(n, (np.cumsum(self.filled[order], axis=1) * self.total < 4 * k).sum(1) + 1)  # enough rows to choose from
+            out += [o[:m] for o, m in zip(order, np.minimum(n, order.shape[1]))]
+        return out
+
+    def floors(self, query_ids: np.ndarray, queries: np.ndarray, picked: list[np.ndarray], k: int) -> np.ndarray:
         """Each query's k-th best product with reference rows of other ids in its probed lists; minus infinity if they are fewer.
 
         As those rows stand in the probed lists too, the search finds k rows over the floor by itself.
@@ -124,7 +153,7 @@ def fit(vectors: DataFrame, total: int, sample: int = SAMPLE, list_size: int = L
     edges = [(a, min(a + SUB, x.shape[1])) for a in range(0, x.shape[1], SUB)]
     part = residual[:20_000]
     kept = rows["id"].to_numpy()[:REFERENCE]
-    return Index(coarse, radius, [k_means(part[:, a:b], CODES) for a, b in edges], edges, kept, x[:REFERENCE], lists[:REFERENCE])
+    return Index(coarse, radius, n / n.sum(), total, [k_means(part[:, a:b], CODES) for a, b in edges], edges, kept, x[:REFERENCE], lists[:REFERENCE])
 
 
 def search_block(index: Index, list_no: int, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int, shortlist: int = SHORTLIST) -> list[tuple[int, int, float]]:
@@ -172,22 +201,21 @@ def search_block(index: Index, list_no: int, ids: np.ndarray, vectors: np.ndarra
     return out
 
 
-def nearest_neighbours(table: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, probed: float = PROBED, sample: int = SAMPLE, list_size: int = LIST_SIZE) -> DataFrame:
+def nearest_neighbours(table: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, expected: float = EXPECTED, sample: int = SAMPLE, list_size: int = LIST_SIZE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row its k nearest other ids by inner product found by the index.
 
-    Lists to probe are those of the greatest bound, centroid's product plus the query's norm times the
-    list's spread. Lists meet their queries in blocks of bounded size, so a list with a third of all
+    A query probes the fewest lists that are expected to hold the share `expected` of its neighbours;
+    1 probes all lists and makes the result exact. Lists meet their queries in blocks of bounded size, so a list with a third of all
     rows is many tasks. Scores are double-precision products of the original vectors; ties go to the
-    smaller id. Rows with a null id or an unusable vector, and vectors not of the commonest length, take
-    no part; rows that share an id count once each and are never neighbours of that id; an empty table
+    smaller id. Rows with a null id or an unusable vector, and vectors not of the commonest length (which have no
+    product with the others), take no part; rows that share an id count once each and are never neighbours of that id; an empty table
     gives no rows. With fewer candidates than k, all that the probed lists hold are returned.
     """
     spark = table.sparkSession
     rows = table.where(F.col(f"`{key}`").isNotNull() & usable(F.col(f"`{vector}`"))).select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    out = "query_id long, rank int, vec_id long, score double"
     if not lengths:
-        return spark.createDataFrame([], out)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows, total = rows.where(F.size("v") == lengths["d"]), lengths["count"]
     send = spark.sparkContext.broadcast(fit(rows.select("id", "v"), total, sample, list_size))
 
@@ -202,11 +230,9 @@ def nearest_neighbours(table: DataFrame, is_query: Column, key: str = "vec_id",
         index = send.value
         for pdf in batches:
             x = np.array(pdf["v"].tolist(), np.float64).reshape(len(pdf), index.coarse.shape[1])
-            bound = x @ index.coarse.T + np.linalg.norm(x, axis=1)[:, None] * index.radius
-            n = int(np.ceil(probed * bound.shape[1]))
-            picked = np.argpartition(-bound, n - 1, axis=1)[:, :n]
+            picked = index.probes(pdf["id"].to_numpy(), x, k, expected)
             floors = index.floors(pdf["id"].to_numpy(), x, picked, k)
-            yield pd.DataFrame({"id": pdf["id"], "v": list(x), "lists": list(picked.astype(np.int32)), "floor": floors})
+            yield pd.DataFrame({"id": pdf["id"], "v": list(x), "lists": [p.astype(np.int32) for p in picked], "floor": floors})
 
     held = written(rows.select("id", "v").mapInPandas(assign, "id long, v array<double>, list_no int, codes binary"), "ann-lists")
     asked = written(rows.where("q").select("id", "v").mapInPandas(probe, "id long, v array<double>, lists array<int>, floor double"), "ann-probes")
