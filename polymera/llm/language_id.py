@@ -18,6 +18,8 @@ DIMENSIONS, SEED = 512, 20_240
 _LETTERS, _LATIN, _SPACE = 1024, 0x250, 0x20
 #: n-gram vectors a worker keeps.
 _KEPT = 60_000
+#: Different languages at most: the driver and each task hold one vector for each.
+MOST_LANGUAGES = 4_096
 #: Temperature that turns cosines into a score.
 SHARPNESS = 20.0
 
@@ -108,7 +110,8 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", dime
 
     Each task sums trigram counts by language, bundles them once and emits `dimensions` rows for each of
     its languages, which Spark sums as whole numbers: the prototypes do not depend on the order of rows.
-    The driver gets dimensions x languages numbers.
+    The driver gets dimensions x languages numbers; more than MOST_LANGUAGES different languages raise,
+    since that is no column of languages.
     """
     source = docs.where(F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
 
@@ -126,6 +129,8 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", dime
         for name, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * dimensions, pa.string()), pa.array(range(dimensions), pa.int32()), pa.array(total, pa.int64())], names=["lang", "i", "v"])
 
+    if (n := source.agg(F.approx_count_distinct("lang")).first()[0]) > MOST_LANGUAGES:
+        raise ValueError(f"some {n} different languages in {lang}; {MOST_LANGUAGES} at most can be told apart")
     rows = source.mapInArrow(run, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect()
     out: dict[str, np.ndarray] = {}
     for r in rows:

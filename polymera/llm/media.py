@@ -183,12 +183,12 @@ def read_media(index: DataFrame, key: str = "doc_id") -> DataFrame:
     """Read every stored member back by its range and return what it holds, one row per index row.
 
     Columns: key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature, width, height. A member whose payload or stored form differs from the index raises.
+    feature, width, height, and where the bytes lie: shard, offset (its length is media_bytes). A member whose payload or stored form differs from the index raises.
     Several rows of one member in a batch read it once.
     """
     kept = index.select(F.col(f"`{key}`"), "n_bytes", "payload_digest", "media_digest", "shard", "offset", "length", "width", "height")
     kind = kept.schema[0].dataType.simpleString()
-    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"]
+    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader()
@@ -207,9 +207,9 @@ def read_media(index: DataFrame, key: str = "doc_id") -> DataFrame:
                     seen[place] = len(data), sha.hexdigest(), zlib.crc32(data[-32:]), len(stored), stored_sha.hexdigest(), feature(data)
                 rows.append(seen[place])
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], batch.column(7), batch.column(8)], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], batch.column(7), batch.column(8), batch.column(4), batch.column(5)], names=names)
 
-    return kept.mapInArrow(run, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int")
+    return kept.mapInArrow(run, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, shard string, offset long")
 
 
 def media_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

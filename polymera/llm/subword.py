@@ -426,6 +426,23 @@ def sample_segmentations(docs: DataFrame, path: str, key: str = "doc_id", text:
     return source.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
+def encode_pieces(docs: DataFrame, path: str, text: str = "text", out: str = "pieces") -> DataFrame:
+    """Append the library's own segmentation of every whole text as piece ids; a null text gives null, an empty one none.
+
+    An input column named like the new one gives way, whatever its case; repeated rows are encoded each.
+    """
+    kept = [c for c in docs.columns if c.lower() != out.lower()]
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load_pieces(path).model
+        for batch in batches:
+            ids = [None if t is None else model.encode(t) for t in batch.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(ids, pa.list_(pa.int32()))], names=[*kept, out])
+
+    return source.mapInArrow(run, T.StructType(source.schema.fields[: len(kept)] + [T.StructField(out, T.ArrayType(T.IntegerType()))]))
+
+
 def decode_pieces(rows: DataFrame, path: str, pieces: str = "pieces", out: str = "text") -> DataFrame:
     """Append the text that each row's piece ids spell; null ids give null."""
     kept = [c for c in rows.columns if c.lower() != out.lower()]

@@ -24,6 +24,8 @@ MODEL_TOKENS = 200_000
 #: Labelled rows that the classifier is fitted on at most, those whose ids have the least hashes; and the
 #: decision's score.
 LABELLED_ROWS, THRESHOLD = 50_000, 0.3
+#: The score of every text where labels of both kinds are missing: under the threshold.
+UNTAUGHT = 0.05
 #: A passage counts if its expected number by chance in a text of this length is at most this.
 SIGNIFICANT = 0.01
 
@@ -147,8 +149,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     under LEAST_Z, or which are smaller than LEAST_ODDS, are left out. Chance is fitted on clean texts:
     scores of their best passages follow a Gumbel law by length, whose tail is fitted. The last step is a
     two-parameter logistic fit on the same rows.
-    Rows with null labels or ids teach nothing; a document labelled twice counts twice; without labels of
-    both kinds every weight is missing and every score is the prior.
+    Rows with null labels or ids teach nothing; a document labelled twice counts twice. Without labels of
+    both kinds nothing tells toxic from clean: every weight is missing, every score is UNTAUGHT, and so no
+    document is predicted toxic.
     """
     known = labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("__k"), (F.col(f"`{label}`") == 1).cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("__k"), "__k", "toxic").limit(labelled_rows)
@@ -156,7 +159,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     counts = _token_counts(rows)
     total = rows.agg(F.sum("toxic"), F.count("*")).first()
     n_toxic, n_clean = total[0] or 0, total[1] - (total[0] or 0)
-    model = ToxicityModel({})
+    model = ToxicityModel({}, slope=0.0, offset=math.log(UNTAUGHT / (1 - UNTAUGHT)), prior=UNTAUGHT)
     if not n_toxic or not n_clean:
         return model
     for_toxic = PRIOR * n_toxic / (n_toxic + n_clean)
@@ -165,12 +168,12 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     z = odds / F.sqrt(1 / a + 1 / b)
     strong = counts.select("token", odds.alias("w"), z.alias("z")).where((F.abs("z") >= LEAST_Z) & (F.abs("w") >= LEAST_ODDS)).orderBy(F.desc(F.abs("z")), "token").limit(model_tokens).collect()
     model.weights = {bytes(r["token"]): max(-MOST_ODDS, min(MOST_ODDS, r["w"])) for r in strong}
-    _calibrate(model, rows)
+    _calibrate(model, rows, labelled_rows)
     return model
 
 
-def _calibrate(model: ToxicityModel, sample: DataFrame) -> None:
-    """Fit chance on the clean texts of the labelled rows, then the score on all of them."""
+def _calibrate(model: ToxicityModel, sample: DataFrame, most: int) -> None:
+    """Fit chance on the clean texts of the labelled rows, then the score on all of them; `most` rows of each kind at most."""
     send = sample.sparkSession.sparkContext.broadcast(model)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +189,9 @@ def _calibrate(model: ToxicityModel, sample: DataFrame) -> None:
                     every.append(scores)
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(n, pa.int64()), pa.array(top, pa.float64()), pa.array(every, pa.list_(pa.float64()))], names=["toxic", "n", "top", "every"])
 
-    rows = sample.select("text", "toxic").mapInArrow(best, "toxic int, n long, top double, every array<double>").collect()
+    found = sample.select("text", "toxic").mapInArrow(best, "toxic int, n long, top double, every array<double>")
+    order = [F.xxhash64("n", "top"), "n", "top"]
+    rows = [r for y in (0, 1) for r in found.where(F.col("toxic") == y).orderBy(*order).limit(most).collect()]  # ids may repeat in docs
     toxic = np.array([r["toxic"] for r in rows])
     n = np.array([max(1, r["n"]) for r in rows], float)
     top = np.array([r["top"] for r in rows])

@@ -19,9 +19,18 @@ RULES = (
 )
 
 #: One of these whole terms in a url rejects it.
-STRICT = ("casino", "porn", "xxx", "viagra", "pills", "malware", "warez", "spam")
+STRICT = (
+    "adult", "casino", "cialis", "cracked", "darknet", "escort", "hentai", "keygen", "malware", "nsfw",
+    "phishing", "pills", "poker", "porn", "porno", "pornhub", "roulette", "spam", "spyware", "torrent",
+    "viagra", "warez", "webcamsex", "xnxx", "xvideos", "xxx",
+)
 #: Terms that reject a url when at least SOFT_HITS different ones occur.
-SOFT = ("ads", "bet", "bonus", "buy", "cheap", "click", "farm", "free", "promo", "track", "win")
+SOFT = (
+    "ads", "affiliate", "banner", "bet", "bonus", "buy", "cheap", "click", "clickbait", "coupon", "crack",
+    "dating", "deal", "discount", "download", "earn", "farm", "free", "gamble", "girls", "hack", "hot",
+    "jackpot", "loan", "lottery", "mature", "offer", "popup", "prize", "promo", "redirect", "sale", "sex",
+    "slots", "sponsored", "track", "utm", "win",
+)
 SOFT_HITS = 2
 
 _automata: dict[tuple, object] = {}
@@ -75,7 +84,7 @@ def filter_urls(pages: DataFrame, url: str = "url", keep: Sequence[str] | None =
     base = base.withColumn("__h", F.regexp_extract("__a", "(?s)^[^/?#]*", 0))
     base = base.withColumn("__p", F.regexp_extract(F.expr("substr(__a, length(__h) + 1)"), "(?s)^[^?#]*", 0)).withColumn("__h", F.translate("__h", upper, lower))
     rule = verdict = F.lit(None).cast("string")
-    for say, host, prefix in sorted(rules, key=lambda r: len(r[1] + r[2])):  # later ones, the longest, win
+    for say, host, prefix in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):  # the last to fit wins: the longest, of these the earliest
         fits = ((F.col("__h") == host) | F.col("__h").endswith(f".{host}")) & F.col("__p").startswith(prefix)
         rule, verdict = F.when(fits, F.lit(host + prefix)).otherwise(rule), F.when(fits, F.lit(say)).otherwise(verdict)
     base = base.select(*[F.col(f"`{c}`") for c in kept], F.col("__h").alias("host"), F.col("__p").alias("path"), rule.alias("rule"), verdict.alias("__v"), "__u")

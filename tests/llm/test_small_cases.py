@@ -133,11 +133,11 @@ def test_near_duplicates_brute_force(spark):
     want = {int(ids[i]): least[find(i)] for i in range(len(texts))}
     found = {}
     for size in (near_dedup.BLOCK_BYTES, 6_000):
-        near_dedup.true_links.__defaults__ = (size,)
+        near_dedup.true_links.__defaults__ = (size, near_dedup.BLOCK_SETS)
         try:
             found[size] = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df).collect()}
         finally:
-            near_dedup.true_links.__defaults__ = (near_dedup.BLOCK_BYTES,)
+            near_dedup.true_links.__defaults__ = (near_dedup.BLOCK_BYTES, near_dedup.BLOCK_SETS)
     assert all(f == want for f in found.values())
 
 
@@ -366,7 +366,7 @@ def test_vector_search(spark):
     rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
     odd = [(1000, None), (1020, [0.0] * 8), (1040, [float("nan")] + [1.0] * 7), (1060, [1.0]), (None, rows[3][1]), (1080, [None] + [1.0] * 7)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").repartition(4)
-    for sizes in ({"list_size": 1000}, {"list_size": 40, "probed": 1.0}):
+    for sizes in ({"list_size": 1000}, {"list_size": 40, "expected": 1.0}):
         out = vector_search.nearest_neighbours(df, F.col("vec_id") % 20 == 0, k=20, **sizes).collect()
         for q in (0, 40, 120, 380):
             s = (x.astype(float) * x[q].astype(float)).sum(1)
@@ -398,7 +398,7 @@ def test_vector_search_returns_what_the_index_finds(spark):
     x = rng.normal(size=(2000, 16)) * 0.1
     x[:10, 0] += 30  # a list of ten
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(2)
-    one = vector_search.nearest_neighbours(df, F.col("vec_id") == 3, k=20, list_size=200, probed=1e-9).collect()
+    one = vector_search.nearest_neighbours(df, F.col("vec_id") == 3, k=2, list_size=200, expected=1e-9).collect()
     assert {r["vec_id"] for r in one} <= set(range(10)) - {3}
     out = vector_search.nearest_neighbours(df, F.col("vec_id") % 50 == 11, k=20, sample=500, list_size=200).collect()
     found = 0
