@@ -45,11 +45,12 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the least id, and one row of it.
 
-    Rows are told apart by their place in the stage's input, which is a table of files.
+    Rows are told apart by a number written beside them once, so that all plans read the same.
     """
-    placed = docs.withColumn("__row", F.struct(F.col("doc_id"), F.monotonically_increasing_id().alias("place")))
-    gone = near_dedup.near_duplicates(placed, key="__row").where("NOT kept").select(F.col("__row.place").alias("__place"))
-    return placed.withColumn("__place", F.col("__row.place")).join(gone, "__place", "left_anti").select(*docs.columns)
+    packed = _packed(docs).withColumn("place", F.monotonically_increasing_id())
+    placed = written(packed.select("row", "text", F.struct(F.col("row.doc_id"), "place").alias("id")), "pipeline-placed")
+    gone = near_dedup.near_duplicates(placed, key="id").where("NOT kept").select(F.col("id.place").alias("place"))
+    return placed.select("row", F.col("id.place").alias("place")).join(gone, "place", "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +71,7 @@ STAGES = [
     ("segmentation", segment),
 ]
 
-#: SQL cannot express the learned stages; tests hold the rows against a brute-force version.
+#: SQL cannot express the learned stages; tests hold each stage's decisions, chained, against plain versions.
 ORACLE_SQL = None
 
 

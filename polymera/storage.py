@@ -12,9 +12,13 @@ _own_folder: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or in tests, where it is unset, a new one."""
+    """The folder all executors see: spark.checkpoint.dir, or on a local master, where it may be unset, a new one.
+
+    A cluster without it is refused: a folder of the driver's machine would lose what executors write.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        refuse_cluster(spark.sparkContext.master)
         if not _own_folder:
             _own_folder.append("file://" + tempfile.mkdtemp(prefix="polymera-"))
             atexit.register(_forget, spark, _own_folder[0])
@@ -22,6 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def refuse_cluster(master: str) -> None:
+    """Raise unless executors share the driver's machine."""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system, if the session still lives."""
     try:
@@ -38,6 +48,14 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return path
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a written() table that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/polymera-" in path:
+            _forget(spark, path)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it again."""
     spark = df.sparkSession
