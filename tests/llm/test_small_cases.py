@@ -5,10 +5,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from polymera.llm import language_id, lm_score, media, mixing, near_dedup, subword, token_counts, toxicity, url_filter, vector_search
+from polymera.llm import language_id, lm_bits, lm_score, media, mixing, near_dedup, subword, token_counts, toxicity, url_filter, vector_search
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -276,40 +277,112 @@ def test_scores(spark, docs, empty):
     assert lm_score.score_texts(docs, F.lit(False)).count() == docs.count()
 
 
-def test_word_probabilities_sum_to_one(spark):
-    """Over all next words, coded or escaped, the model's probabilities sum to one."""
-    df = spark.createDataFrame([(f"{a} {b} {c}",) for a in "xyz" for b in "xyzq" for c in "xy"], "text string")
-    model = lm_score.learn(df, lm_score.word_counts(df), F.lit(False))
-    symbols = range(len(model.word_code.lengths))
-    before = np.array([3, 2], np.int32)
-    one = [np.append(before, s).astype(np.int32) for s in symbols]
-    scores = model.scores(one) - model.scores([before])
-    assert abs(np.exp(scores).sum() - 1) < 1e-4
+def test_word_probabilities_sum_to_one():
+    """Over all next symbols the mixed and refined probabilities sum to one, in a text's first and later blocks."""
+    rng = np.random.default_rng(2)
+    code = lm_bits.Code.of([int(x) for x in rng.integers(1, 60, 40)])
+    n, contexts = 40, 3
+    tables = rng.integers(-90, 90, (contexts, 1 << 12)).astype(np.int8)
+    weights = rng.normal(0.4, 0.3, lm_bits.start(code, 4).shape).astype(np.float32)
+    model = lm_bits.Predictor(code, 12, tables, weights, np.clip(lm_bits.CENTRE + rng.normal(0, 0.1, len(lm_bits.CENTRE)), 0.01, 0.99))
+    counts = [rng.integers(0, 4, n) * (rng.random(n) < 0.5)]
+    begins, (told,) = lm_bits.exact_values(code, np.zeros(n, np.uint64), np.arange(n), counts)
+    for length in (0, 2, 700):
+        before = rng.integers(0, n, length)
+        scores = []
+        for symbol in range(n):
+            text = np.append(before, symbol)
+            hashes = [np.append(rng.integers(0, 1 << 32, 0), (np.arange(length + 1) * 2654435761 + k) % (1 << 32)).astype(np.uint32) for k in range(contexts)]
+            at = np.append(begins[code.rank[before]], begins[code.rank[symbol]])
+            scores.append(model.scores(text, np.array([length + 1]), hashes, told, at)[0])
+        whole = model.scores(before, np.array([length]), [h[:-1] for h in hashes], told, at[:-1])[0] if length else 0.0
+        assert abs(np.exp(np.array(scores) - whole).sum() - 1) < 1e-3
+
+
+def test_exact_values_brute_force():
+    rng = np.random.default_rng(4)
+    code = lm_bits.Code.of([int(x) for x in rng.integers(1, 200, 60)])
+    rows = np.unique(np.stack((rng.integers(0, 30, 400), rng.integers(0, 60, 400)), 1), axis=0)
+    rows = rows[(rows[:, 0] % 3 > 0) | (np.arange(len(rows)) % 7 == 0)]
+    counts = [rng.integers(0, 50, len(rows)), rng.integers(0, 2, len(rows))]
+    first, found = lm_bits.exact_values(code, rows[:, 0].astype(np.uint64), rows[:, 1], counts)
+    path = lambda r: [int(x) for x in f"{int(code.words[code.by_rank[r]]):064b}"[: code.lengths[code.by_rank[r]]]]
+    for (context, rank), at in zip(rows.tolist(), first.tolist()):
+        own = path(rank)
+        for c, got in zip(counts, found):
+            for d in range(len(own)):
+                under = [(path(r), k) for (x, r), k in zip(rows.tolist(), c.tolist()) if x == context and path(r)[:d] == own[:d]]
+                support, against = sum(k for p, k in under if p[d] == own[d]), sum(k for p, k in under if p[d] != own[d])
+                ones, zeros = (support, against) if own[d] else (against, support)
+                assert got[at + d] == (2 * own[d] - 1) * lm_bits.values_of(np.array([ones * 1.0]), np.array([zeros * 1.0]))[0]
+
+
+def _learned(df, half):
+    rows = df.select(F.lit(1).alias("key"), "text", half.cast("int").alias("half"))
+    counts = lm_score.word_counts(df)
+    words = lm_score.learn_words(counts, df.count())
+    return words, lm_score.exact_context(lm_score.packs(rows, words), words.code)
+
+
+@pytest.mark.parametrize("part", [50, 2_000_000])
+def test_exact_context_gathers_the_whole_corpus(spark, part, monkeypatch):
+    """Every pack is told the counts of all packs, and of the other half alone; nothing is capped."""
+    monkeypatch.setattr(lm_score, "PART", part)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(list("abcdefgh"), 30)) for _ in range(40)] + ["x y z x y z x"] * 5
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    words, exact = _learned(df, F.pmod(F.xxhash64("text"), F.lit(2)))
+    counts = {0: Counter(), 1: Counter()}
+    held = exact.collect()
+    for r in held:
+        found, n, first = lm_score._read(r["symbols"], r["sizes"])
+        counts[r["half"]].update(zip(lm_score.word_contexts(found, first)[1].tolist(), found.tolist()))
+    both = counts[0] + counts[1]
+    code = words.code
+    path = [f"{int(w):064b}"[:n] for w, n in zip(code.words, code.lengths)]
+    for r in held[:6]:
+        for other, known in ((False, both), (True, counts[1 - r["half"]])):
+            found, n, _, told, at = lm_score._with_exact(code, r["half"], r["symbols"], r["sizes"], r["answers"], other)
+            first = np.zeros(len(found), bool)
+            first[np.cumsum(n) - n] = True
+            two = lm_score.word_contexts(found, first)[1]
+            for i in range(0, len(found), 17):
+                own = path[found[i]]
+                for d in range(len(own)):
+                    under = [(path[s], k) for (c, s), k in known.items() if c == two[i] and path[s][:d] == own[:d]]
+                    ones, zeros = (sum(k for p, k in under if p[d] == bit) for bit in "10")
+                    assert told[at[i] + d] == (1 if own[d] == "1" else -1) * lm_bits.values_of(np.array([float(ones)]), np.array([float(zeros)]))[0]
 
 
 def test_every_coded_word_is_a_context():
     """Words of any rank before, pairs of words and the last but one tell contexts apart."""
     first = np.array([True, False, False])
-    a, b, c = (lm_score.word_contexts(np.array([x, y, 7], np.int32), first) for x, y in ((50_000, 60_000), (50_000, 60_001), (50_001, 60_000)))
-    assert len(a) == 4
-    assert a[0][2] != b[0][2] and a[1][2] != b[1][2] and a[2][2] == b[2][2]
-    assert a[0][2] == c[0][2] and a[1][2] != c[1][2] and a[2][2] != c[2][2]
-    assert len(lm_score.byte_contexts(np.array([97, 98, 256], np.int32), first)) == 3
+    (a, p), (b, q), (c, r) = (lm_score.word_contexts(np.array([x, y, 7]), first) for x, y in ((50_000, 60_000), (50_000, 60_001), (50_001, 60_000)))
+    assert a[0][2] != b[0][2] and a[1][2] == b[1][2] and a[0][2] == c[0][2] and a[1][2] != c[1][2]
+    assert len({p[2], q[2], r[2]}) == 3 and p[0] == (1 << 16 | 1) and p[1] == (1 << 16 | 50_000)
+    pairs = np.arange(1 << 16, dtype=np.uint32) * np.uint32(65_521)
+    assert len(np.unique(lm_score.mixed(pairs))) == len(pairs)
+    assert len(lm_score.byte_contexts(np.array([97, 98, 256]), first)) == 3
+
+
+def test_packs_of_any_size_have_the_same_entries():
+    rng = np.random.default_rng(8)
+    two, rank = rng.integers(0, 500, 70_000).astype(np.uint32), rng.integers(0, 90, 70_000)
+    long = lm_score.entries(two, rank)
+    context, ranks, n, of = lm_score.entries(two[:60_000], rank[:60_000])
+    for c, r, k, o, m in ((*long, 70_000), (context, ranks, n, of, 60_000)):
+        assert n.sum() == 60_000 and (c[o] == lm_score.mixed(two[:m])).all() and (r[o] == rank[:m]).all() and (np.bincount(o) == k).all()
 
 
 def test_every_text_teaches_counters_and_mixer(spark):
     df = spark.createDataFrame([(i, " ".join(["one two three four"] * 20)) for i in range(12)], "id long, text string")
-    counts = lm_score.word_counts(df)
-    whole = lm_score.learn(df, counts, F.lit(False))
-    same = lm_score.learn(df, counts, F.lit(True))
-    assert whole.tables.any() and (whole.tables == same.tables).all()
-    split = lm_score.learn(df, counts, F.col("id") % 2 == 0)
-    assert (whole.tables == split.tables).all()
-    moved = np.abs(split.weights - lm_score._START).max(1) > 0
-    assert moved.any() and np.abs(split.weights[moved][:, 1:] - lm_score._START[1:]).max() > 0
-    cells = lm_score._Mixer(lm_score._START)
-    cells.learn(np.ones(5_000_000, np.int8), np.ones((5, 5_000_000), np.float32), np.zeros(5_000_000, np.int32))
-    assert cells.seen[0] == cells.every.sum() == 5_000_000
+    made = [lm_score.learn(exact, words) for words, exact in (_learned(df, h) for h in (F.lit(0), F.lit(1), F.col("id") % 2))]
+    assert made[0].tables.any() and all((m.tables == made[0].tables).all() for m in made[1:])
+    first = lm_bits.start(made[2].code, 4)
+    assert np.abs(made[2].weights - first).max() > 0
+    mixer = lm_bits.Mixer(made[0].code, 3)
+    mixer.learn(made[0].tables, made[0].bits, np.ones(100_000, np.int64), [np.zeros(100_000, np.uint32)] * 3)
+    assert mixer.every.sum() == 100_000 * made[0].code.lengths[1]
 
 
 def test_all_words_give_letter_counts(spark):
@@ -319,11 +392,19 @@ def test_all_words_give_letter_counts(spark):
     for r in counts.collect():
         for b in bytes(r["word"]):
             want[b] += r["n"]
-    docs = spark.createDataFrame([], "text string")
-    model = lm_score.learn(docs, counts, F.lit(False), coded=10)
-    rare = model.listed + model.new
-    code = lm_score.Code.of([want[b] + 1 if b < 256 else rare + 1 for b in range(257)])
-    assert np.array_equal(code.static, model.byte_code.static) and np.array_equal(code.bits, model.byte_code.bits)
+    words = lm_score.learn_words(counts, 0, coded=10)
+    rare = words.listed + words.new - (0 if words.new > 1 else 1)
+    code = lm_bits.Code.of([want[b] + 1 if b < 256 else rare + 1 for b in range(257)])
+    assert np.array_equal(code.static, words.spelling.code.static) and np.array_equal(code.words, words.spelling.code.words)
+
+
+def test_tokens_are_the_words_of_the_contract():
+    import re
+
+    texts = ["  A\x0bb\x0c c\x1cd\x85e\u3000f  ", "", None, " \n", "É İx", "z"]
+    flat, n = lm_score.tokens(pa.array(texts))
+    want = [re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c < "\x80" else c for c in t or "")) for t in texts]
+    assert flat.to_pylist() == [w for ws in want for w in ws] and n.tolist() == [len(w) for w in want]
 
 
 def test_segmentations(docs, empty):
