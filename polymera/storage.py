@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -56,9 +57,15 @@ def forget(df: DataFrame) -> None:
             _forget(spark, path)
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def clean(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that are no longer referred to, which it does when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def written(df: DataFrame, what: str, compression: str | None = None) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it again."""
     spark = df.sparkSession
     path = new_folder(spark, what)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
