@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from polymera.storage import forget, new_folder, shared_dir, written  # noqa: F401  used by the operators
+from polymera.storage import clean, forget, new_folder, shared_dir, written  # noqa: F401  used by the operators
 
 #: Rows handled at a time inside an Arrow batch, and the bytes that end a slice early.
 SLICE_ROWS, SLICE_BYTES = 256, 4 << 20

@@ -313,45 +313,61 @@ def test_exact_values_brute_force():
             for d in range(len(own)):
                 under = [(path(r), k) for (x, r), k in zip(rows.tolist(), c.tolist()) if x == context and path(r)[:d] == own[:d]]
                 support, against = sum(k for p, k in under if p[d] == own[d]), sum(k for p, k in under if p[d] != own[d])
-                ones, zeros = (support, against) if own[d] else (against, support)
-                assert got[at + d] == (2 * own[d] - 1) * lm_bits.values_of(np.array([ones * 1.0]), np.array([zeros * 1.0]))[0]
+                want = 0 if support + against == 0 else int(np.clip(np.rint(2 * np.log((support + 0.4) / (against + 0.4))), -12, 12)) * 10 or 2 * own[d] - 1
+                assert got[at + d] == want
 
 
 def _learned(df, half):
     rows = df.select(F.lit(1).alias("key"), "text", half.cast("int").alias("half"))
     counts = lm_score.word_counts(df)
     words = lm_score.learn_words(counts, df.count())
-    return words, lm_score.exact_context(lm_score.packs(rows, words), words.code)
+    held = lm_score.packs(rows, words)
+    return words, held, *lm_score.learn(held, words)
 
 
 @pytest.mark.parametrize("part", [50, 2_000_000])
 def test_exact_context_gathers_the_whole_corpus(spark, part, monkeypatch):
-    """Every pack is told the counts of all packs, and of the other half alone; nothing is capped."""
+    """Every pack is told the counts of all packs; nothing is capped."""
     monkeypatch.setattr(lm_score, "PART", part)
     rng = np.random.default_rng(6)
     texts = [" ".join(rng.choice(list("abcdefgh"), 30)) for _ in range(40)] + ["x y z x y z x"] * 5
-    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
-    words, exact = _learned(df, F.pmod(F.xxhash64("text"), F.lit(2)))
-    counts = {0: Counter(), 1: Counter()}
-    held = exact.collect()
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    words, _, exact, _ = _learned(df, F.pmod(F.xxhash64("text"), F.lit(2)))
+    known, held = Counter(), exact.collect()
     for r in held:
         found, n, first = lm_score._read(r["symbols"], r["sizes"])
-        counts[r["half"]].update(zip(lm_score.word_contexts(found, first)[1].tolist(), found.tolist()))
-    both = counts[0] + counts[1]
+        known.update(zip(lm_score.word_contexts(found, first)[1].tolist(), found.tolist()))
     code = words.code
     path = [f"{int(w):064b}"[:n] for w, n in zip(code.words, code.lengths)]
-    for r in held[:6]:
-        for other, known in ((False, both), (True, counts[1 - r["half"]])):
-            found, n, _, told, at = lm_score._with_exact(code, r["half"], r["symbols"], r["sizes"], r["answers"], other)
-            first = np.zeros(len(found), bool)
-            first[np.cumsum(n) - n] = True
-            two = lm_score.word_contexts(found, first)[1]
-            for i in range(0, len(found), 17):
-                own = path[found[i]]
-                for d in range(len(own)):
-                    under = [(path[s], k) for (c, s), k in known.items() if c == two[i] and path[s][:d] == own[:d]]
-                    ones, zeros = (sum(k for p, k in under if p[d] == bit) for bit in "10")
-                    assert told[at[i] + d] == (1 if own[d] == "1" else -1) * lm_bits.values_of(np.array([float(ones)]), np.array([float(zeros)]))[0]
+    for r in held[:4]:
+        found, n, _, told, at = lm_score._inputs_of(code, r["symbols"], r["sizes"], np.frombuffer(lm_score._unpacked(r["exact"]), np.int8))
+        first = np.zeros(len(found), bool)
+        first[np.cumsum(n) - n] = True
+        two = lm_score.word_contexts(found, first)[1]
+        for i in range(0, len(found), 17):
+            own = path[found[i]]
+            for d in range(len(own)):
+                under = [(path[s], k) for (c, s), k in known.items() if c == two[i] and path[s][:d] == own[:d]]
+                support, every = sum(k for p, k in under if p[d] == own[d]), sum(k for _, k in under)
+                assert told[at[i] + d] == lm_bits.agreements(np.array([support]), np.array([every - support]), own[d] == "1")[0]
+
+
+def test_answers_of_the_other_half():
+    """A training pack is told what the other half alone says, beside all; one that teaches nothing, only all."""
+    code = lm_bits.Code.of([5, 4, 3, 2])
+    context, rank = np.array([7, 7, 9], np.uint32), np.array([0, 2, 1], np.uint16)
+
+    def asked(which, n):
+        at = np.array(which)
+        return lm_score._packed(lm_score._planes(np.diff(context[at], prepend=np.uint32(0))) + lm_score._planes(rank[at]) + lm_score._planes(np.array(n, np.uint32)))
+
+    rows = [(1, 0, asked([0, 2], [3, 1])), (2, 1, asked([0, 1], [2, 4])), (3, 2, asked([1, 2], [9, 9]))]
+    told = {b.column(0)[0].as_py(): np.frombuffer(lm_score._unpacked(b.column(2)[0].as_py()), np.int8) for b in lm_score._answers(code, 0, rows)}
+    begins, (zero, one, every) = lm_bits.exact_values(code, context.astype(np.uint64), rank.astype(np.int64), [np.array([3, 0, 1]), np.array([2, 4, 0]), np.array([5, 4, 1])])
+    lengths = code.lengths[code.by_rank[rank]]
+    of = lambda values, which: np.concatenate([values[begins[i] : begins[i] + lengths[i]] for i in which])
+    assert np.array_equal(told[1], np.append(of(every, [0, 2]), of(one, [0, 2])))
+    assert np.array_equal(told[2], np.append(of(every, [0, 1]), of(zero, [0, 1]))) and np.array_equal(told[3], of(every, [1, 2]))
 
 
 def test_every_coded_word_is_a_context():
@@ -376,7 +392,7 @@ def test_packs_of_any_size_have_the_same_entries():
 
 def test_every_text_teaches_counters_and_mixer(spark):
     df = spark.createDataFrame([(i, " ".join(["one two three four"] * 20)) for i in range(12)], "id long, text string")
-    made = [lm_score.learn(exact, words) for words, exact in (_learned(df, h) for h in (F.lit(0), F.lit(1), F.col("id") % 2))]
+    made = [_learned(df, h)[3] for h in (F.lit(0), F.lit(1), F.col("id") % 2)]
     assert made[0].tables.any() and all((m.tables == made[0].tables).all() for m in made[1:])
     first = lm_bits.start(made[2].code, 4)
     assert np.abs(made[2].weights - first).max() > 0
