@@ -18,6 +18,32 @@ def percentile_cont(x: Column, p: float = 0.5) -> Column:
     return F.percentile(x, F.lit(p))
 
 
+def percentiles(df: DataFrame, keys: Sequence[str], column: str, ps: Sequence[float], slices: int = 512) -> DataFrame:
+    """(keys, p, value): percentile_cont of each group, exact, for groups that fit no task.
+
+    Rows are counted by group and slice of the whole column's range of values; only the slice that holds
+    a rank is sorted. Null values take no part.
+    """
+    rows = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("__v"))
+    edges = sorted(set(rows.approxQuantile("__v", [i / slices for i in range(1, slices)], 0.0005)))
+    rows = rows.withColumn("__s", F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e < F.col("__v"))))
+    counts = rows.groupBy(*keys, "__s").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).withColumn("__all", F.sum("__n").over(Window.partitionBy(*keys)))
+    wanted = counts.withColumn("p", F.explode(F.array(*map(F.lit, ps)))).withColumn("__at", F.col("p") * (F.col("__all") - 1))
+    low, high = F.floor("__at"), F.ceil("__at")
+    wanted = wanted.withColumn("__rank", F.explode(F.array_distinct(F.array(low, high))))
+    wanted = wanted.where((F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__before") + F.col("__n")))
+    picked = wanted.groupBy(*keys, "__s").agg(F.first("__before").alias("__before"), F.collect_list(F.struct("p", "__at", "__rank")).alias("__want"))
+    slots = rows.join(picked, [*keys, "__s"])
+    order = Window.partitionBy(*keys, "__s").orderBy("__v")
+    ranked = slots.withColumn("__r", F.col("__before") + F.row_number().over(order) - 1)
+    found = ranked.select(*keys, "__v", F.explode(F.filter("__want", lambda w: w["__rank"] == F.col("__r"))).alias("w"))
+    share = F.col("w.__at") - F.floor("w.__at")
+    part = F.when(F.col("w.__rank") == F.floor("w.__at"), (1 - share) * F.col("__v")).otherwise(share * F.col("__v"))
+    return found.groupBy(*keys, F.col("w.p").alias("p")).agg(F.sum(part).alias("value"))
+
+
 def string_agg(x: Column, order: Column | None = None) -> Column:
     """Non-null texts joined by commas, in a stated order or their own."""
     pairs = F.collect_list(F.when(x.isNotNull(), F.struct((x if order is None else order).alias("o"), x.cast("string").alias("v"))))

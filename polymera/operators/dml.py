@@ -119,9 +119,24 @@ def merge(target: DataFrame, source: DataFrame, target_key: str, source_key: str
     return j.where(keep).select(*out)
 
 
-def changed_rows(before: DataFrame, after: DataFrame) -> DataFrame:
-    """RETURNING: rows of the new table that the old did not hold, as bags."""
-    return after.exceptAll(before)
+def update_returning(target: DataFrame, where: Column, sets: Mapping[str, Column]) -> DataFrame:
+    """RETURNING of update(): the rows it touches as they are after, changed or not, without a shuffle."""
+    return target.where(F.coalesce(where, F.lit(False))).select(*[sets[c].alias(c) if c in sets else F.col(c) for c in target.columns])
+
+
+def delete_returning(target: DataFrame, where: Column) -> DataFrame:
+    """RETURNING of delete(): the rows that go, as they were."""
+    return target.where(F.coalesce(where, F.lit(False)))
+
+
+def insert_returning(target: DataFrame, rows: DataFrame) -> DataFrame:
+    """RETURNING of insert(): the new rows with all columns of the target."""
+    return insert(target.limit(0), rows)
+
+
+def upsert_returning(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """RETURNING of upsert(): the one row that stays of each new key."""
+    return upsert(target.limit(0), rows, keys, order)
 
 
 def materialized_sum(target: DataFrame, key: str, rows: DataFrame, row_key: str, value: str, out: str) -> DataFrame:

@@ -70,17 +70,26 @@ def wcc(edges: DataFrame) -> DataFrame:
     return connected_components(edges).select(F.col("id").alias("node_id"), F.col("component").alias("component_id"))
 
 
-def label_propagation(edges: DataFrame, max_iterations: int = 10) -> DataFrame:
-    """(node_id, community_id): every node takes its neighbours' most frequent label, ties to the smallest, all at once each round."""
+def label_propagation(edges: DataFrame, max_iterations: int = 10, seed: int = 0) -> DataFrame:
+    """(node_id, community_id): every node takes its neighbours' most frequent label, ties to the smallest.
+
+    A round has two halves: nodes of one colour (a seeded hash of the node and round) hear the others as they
+    are, then those of the other colour hear the new labels. So neighbours do not swap labels for ever, as
+    they would if all moved at once. Ends when a round changes nothing, or after max_iterations.
+    """
     links = written(undirected(edges), "links")
     labels = written(vertices(edges).select("id", F.col("id").alias("label")), "labels")
-    for _ in range(max_iterations):
-        votes = links.join(labels, links["dst"] == labels["id"]).groupBy("src", "label").agg(F.count("*").alias("n"))
-        heard = votes.groupBy("src").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("new"))
-        new = labels.join(heard, labels["id"] == heard["src"], "left").select("id", F.col("label").alias("old"), F.coalesce("new", "label").alias("label"))
-        new = written(new, "labels")
-        labels = new.select("id", "label")
-        if not new.where("old <> label").limit(1).count():
+    for i in range(max_iterations):
+        changed = 0
+        for half in (0, 1):
+            turn = F.pmod(F.xxhash64("src", F.lit(seed + i)), F.lit(2)) == half
+            votes = links.where(turn).join(labels, links["dst"] == labels["id"]).groupBy("src", "label").agg(F.count("*").alias("n"))
+            heard = votes.groupBy("src").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("new"))
+            new = labels.join(heard, labels["id"] == heard["src"], "left").select("id", F.col("label").alias("old"), F.coalesce("new", "label").alias("label"))
+            new = written(new, "labels")
+            changed += new.where("old <> label").limit(1).count()
+            labels = new.select("id", "label")
+        if not changed:
             break
     return labels.select(F.col("id").alias("node_id"), F.col("label").alias("community_id"))
 
@@ -129,7 +138,7 @@ def degree(edges: DataFrame, direction: str = "both") -> DataFrame:
 def sssp(edges: DataFrame, source, max_iterations: int = 1000) -> DataFrame:
     """(node_id, distance) of the nodes that a source reaches, by rounds of relaxation from the nodes that changed.
 
-    Weights default to 1 and must not be negative.
+    Weights default to 1 and must not be negative. Paths of more edges than max_iterations raise.
     """
     w = F.coalesce("weight", F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
     links = written(edges.select("src", "dst", w.cast("double").alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w")), "links")
@@ -143,6 +152,8 @@ def sssp(edges: DataFrame, source, max_iterations: int = 1000) -> DataFrame:
         best = written(j.select(F.coalesce("id", "dst").alias("id"), F.when(better, F.col("offer")).otherwise(F.col("distance")).alias("distance"), better.alias("fresh")), "distances")
         if not best.where("fresh").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"paths of more than {max_iterations} edges; raise max_iterations")
     return best.select(F.col("id").alias("node_id"), "distance")
 
 
@@ -209,9 +220,9 @@ def _distances(edges: DataFrame, sources: DataFrame, max_depth: int = 1000) -> D
         step = links.join(front, links["src"] == front["id"]).select("source", F.col("dst").alias("id")).distinct()
         front = written(step.join(seen.select("source", "id"), ["source", "id"], "left_anti").withColumn("depth", F.lit(depth)), "front")
         if not front.limit(1).count():
-            break
+            return seen
         seen = seen.unionByName(front)
-    return seen
+    raise RuntimeError(f"paths of more than {max_depth} edges; raise max_depth")
 
 
 def _sampled(nodes: DataFrame, sample_size: int | None) -> DataFrame:
@@ -289,26 +300,31 @@ def betweenness(edges: DataFrame, sample_size: int | None = 1_000, normalized: b
 
 
 def k_core(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(node_id, coreness) by peeling: in each round all nodes of at most k edges left go, with coreness k."""
+    """(node_id, coreness) by peeling: in each round all nodes of at most k edges left go, with coreness k.
+
+    Each round is written, and what went is folded into one table every few rounds, so plans stay short. A
+    peeling longer than max_rounds raises.
+    """
     links = written(undirected(edges), "links")
-    done = vertices(edges).join(links.select(F.col("src").alias("id")).distinct(), "id", "left_anti").withColumn("coreness", F.lit(0))
+    nodes = written(vertices(edges), "nodes")
+    done = nodes.join(links.select(F.col("src").alias("id")).distinct(), "id", "left_anti").withColumn("coreness", F.lit(0))
     k = 1
-    for _ in range(max_rounds):
-        if not links.limit(1).count():
-            break
-        low = written(_degrees(links).where(F.col("degree") <= k).select(F.col("src").alias("id"), F.lit(k).alias("coreness")), "peeled")
-        if not low.limit(1).count():
-            k = max(k + 1, _degrees(links).agg(F.min("degree")).first()[0])
-            continue
-        done = done.unionByName(low)
-        gone = low.select("id")
-        rest = links.join(gone.withColumnRenamed("id", "src"), "src", "left_anti")
-        survivors = links.select(F.col("src").alias("id")).distinct().join(gone, "id", "left_anti")
-        rest = written(rest.join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"), "links")
-        alone = survivors.join(rest.select(F.col("src").alias("id")).distinct(), "id", "left_anti").withColumn("coreness", F.lit(k))
-        done = done.unionByName(written(alone, "peeled"))
+    for i in range(max_rounds):
+        degrees = written(_degrees(links), "degrees")
+        least = degrees.agg(F.min("degree")).first()[0]
+        if least is None:
+            return done.select(F.col("id").alias("node_id"), "coreness")
+        k = max(k, least)
+        low = degrees.where(F.col("degree") <= k).select("src")
+        done = done.unionByName(low.select(F.col("src").alias("id"), F.lit(k).alias("coreness")))
+        rest = written(links.join(low, "src", "left_anti").join(low.select(F.col("src").alias("dst")), "dst", "left_anti").select("src", "dst"), "links")
+        # whoever lost all links without being low itself had only low neighbours left
+        alone = degrees.where(F.col("degree") > k).select("src").join(rest.select("src").distinct(), "src", "left_anti")
+        done = done.unionByName(alone.select(F.col("src").alias("id"), F.lit(k).alias("coreness")))
         links = rest
-    return done.select(F.col("id").alias("node_id"), "coreness")
+        if i % 8 == 7:
+            done = written(done, "peeled")
+    raise RuntimeError(f"more than {max_rounds} rounds of peeling; raise max_rounds")
 
 
 def modularity(edges: DataFrame, communities: DataFrame, resolution: float = 1.0) -> float:

@@ -128,11 +128,14 @@ class MaterializedViews:
         self.definitions.pop(name)
 
 
-def graph_rag(seeds: DataFrame, edges: DataFrame, k: int, max_depth: int = 2, text_scores: DataFrame | None = None, rank_k: float = 60, direction: str = "out") -> DataFrame:
-    """(id, score, rank): nearest rows (id, distance) as seeds, their neighbourhood by hops, and text scores if given, fused by rank."""
+def graph_rag(seeds: DataFrame, edges: DataFrame, k: int, max_depth: int = 2, text_scores: DataFrame | None = None, rank_k: float = 60, direction: str = "out", list_size: int | None = None) -> DataFrame:
+    """(id, score, rank): nearest rows (id, distance) as seeds, their neighbourhood by hops, and text scores if given, fused by rank.
+
+    Whole lists are fused unless list_size keeps the first of each.
+    """
     lists = [ranked(seeds, k, "distance", True)]
     near = graph.bfs(edges, lists[0].select("id"), max_depth, direction)
-    lists.append(ranked(near.select("id", F.col("depth").alias("distance")), 1_000, "distance", True))
+    lists.append(ranked(near.select("id", F.col("depth").alias("distance")), list_size, "distance", True))
     if text_scores is not None:
-        lists.append(ranked(text_scores, 1_000))
+        lists.append(ranked(text_scores, list_size))
     return rrf(lists, rank_k).orderBy("rank").limit(k)

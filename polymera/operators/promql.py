@@ -213,7 +213,7 @@ class _Evaluator:
             numbers = [a.value for a in n.args[1:]]
             return inner.withColumn("value", _SCALAR[name](F.col("value"), *numbers)).where("value IS NOT NULL")
         if name in ("sort", "sort_desc"):
-            return self.vector(n.args[0])
+            return self.vector(n.args[0]).orderBy(F.col("t"), F.col("value").desc() if name == "sort_desc" else F.col("value").asc(), F.col("labels").cast("string"))
         q = n.args[0].value if name == "quantile_over_time" else None
         arg = n.args[-1]
         if arg.kind != "selector" or arg.window is None:

@@ -32,18 +32,19 @@ def distance_join(left: DataFrame, right: DataFrame, metres: float, left_xy: tup
     """Pairs of left and right points within metres, with `distance`: right points enter the nine cells around theirs.
 
     Columns must differ by name. Cells are as wide as the distance at max_latitude, beyond which rows are
-    refused, so no pair is lost; pairs across longitude 180 are not sought.
+    refused, so no pair is lost; cells go on from longitude 180 at -180. A pair is found once.
     """
     dy = math.degrees(metres / geo.EARTH) * 1.000001
-    dx = dy / math.cos(math.radians(max_latitude))
+    around = max(1, math.floor(360 * math.cos(math.radians(max_latitude)) / dy))  # whole cells about the earth
+    dx = 360 / around
 
     def cells(lng: str, lat: str) -> tuple[Column, Column]:
         ok = F.when(F.abs(F.col(lat)) <= max_latitude, F.col(lat)).otherwise(F.raise_error(F.lit("latitude out of range")).cast("double"))
-        return F.floor(F.col(lng) / dx), F.floor(ok / dy)
+        return F.pmod(F.floor(F.col(lng) / dx), F.lit(around)), F.floor(ok / dy)
 
     (ax, ay), (bx, by) = cells(*left_xy), cells(*right_xy)
     l = left.withColumn("__cx", ax).withColumn("__cy", ay)
-    r = right.withColumn("__cx", F.explode(F.sequence(bx - 1, bx + 1))).withColumn("__cy", F.explode(F.sequence(by - 1, by + 1)))
+    r = right.withColumn("__cx", F.explode(F.array_distinct(F.transform(F.sequence(bx - 1, bx + 1), lambda c: F.pmod(c, F.lit(around)))))).withColumn("__cy", F.explode(F.sequence(by - 1, by + 1)))
     d = geo.haversine(F.col(left_xy[0]), F.col(left_xy[1]), F.col(right_xy[0]), F.col(right_xy[1]))
     return l.join(r, ["__cx", "__cy"]).withColumn("distance", d).where(F.col("distance") <= metres).drop("__cx", "__cy")
 

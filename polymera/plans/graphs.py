@@ -85,12 +85,23 @@ def graph_diameter(t: Tables):
     return graph.diameter(_edges(t))
 
 
-@query("graph_betweenness")
+@query("graph_betweenness", f"""WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {_E} WHERE src <> dst), n AS MATERIALIZED {_N}, b AS (SELECT id AS s, id, 0 AS depth FROM n UNION SELECT b.s, e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.id WHERE b.depth < 16),
+    d AS MATERIALIZED (SELECT s, id, min(depth) AS d FROM b GROUP BY s, id),
+    p AS (SELECT id AS s, id, 0 AS d, 1.0::DOUBLE AS paths FROM n UNION ALL
+      SELECT s, id, d, sum(paths) AS paths FROM (SELECT p.s, e.dst AS id, p.d + 1 AS d, p.paths FROM p JOIN e ON e.src = p.id JOIN d ON d.s = p.s AND d.id = e.dst AND d.d = p.d + 1) GROUP BY s, id, d),
+    q AS MATERIALIZED (SELECT s, id, d, sum(paths) AS paths FROM p GROUP BY s, id, d),
+    x AS (SELECT v.id, sum(a.paths * z.paths / t.paths) AS c FROM q v JOIN q a ON a.s = v.s AND a.id = v.id JOIN q z ON z.s = v.id JOIN q t ON t.s = a.s AND t.id = z.id AND t.d = a.d + z.d WHERE a.s <> v.id AND z.id <> v.id AND a.s <> z.id GROUP BY v.id),
+    c AS (SELECT count(*)::DOUBLE AS n FROM n)
+    SELECT n.id AS node_id, round(coalesce(x.c, 0) / ((c.n - 1) * (c.n - 2)), 9) AS centrality FROM n CROSS JOIN c LEFT JOIN x ON x.id = n.id""")
 def graph_betweenness(t: Tables):
-    return graph.betweenness(_edges(t), sample_size=None)
+    return graph.betweenness(_edges(t), sample_size=None).select("node_id", F.round("centrality", 9).alias("centrality"))
 
 
-@query("graph_k_core")
+#: A node's coreness is the least fixed point of: the greatest k such that k neighbours have at least k.
+_CORE_STEP = "SELECT i + 1, r.id, (SELECT coalesce(max(least(p.k, p.rn)), 0) FROM (SELECT q.k, row_number() OVER (ORDER BY q.k DESC) AS rn FROM u JOIN l q ON q.id = u.dst WHERE u.src = r.id) p) FROM l r WHERE r.i < 40"
+
+
+@query("graph_k_core", f"""WITH RECURSIVE u AS MATERIALIZED {_U}, n AS MATERIALIZED {_N}, l AS (SELECT 0 AS i, n.id, (SELECT count(*) FROM u WHERE u.src = n.id) AS k FROM n UNION ALL {_CORE_STEP}) SELECT id AS node_id, k::INT AS coreness FROM l WHERE i = 40""")
 def graph_k_core(t: Tables):
     return graph.k_core(_edges(t))
 
@@ -105,10 +116,10 @@ def graph_louvain(t: Tables):
     return graph.louvain(_edges(t))
 
 
-@query("graph_match", "SELECT c.c_custkey AS c, o.o_orderkey AS o, l.l_partkey + 10000000 AS p FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) l ON l.l_orderkey = o.o_orderkey WHERE c.c_custkey < 20")
+@query("graph_match", "SELECT c.c_custkey AS c, o.o_orderkey AS o, l.l_partkey + 10000000 AS p FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) l ON l.l_orderkey = o.o_orderkey")
 def graph_match(t: Tables):
     big = 10_000_000
-    places = t.orders.where("o_custkey < 20").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"), F.lit("placed").alias("label"))
+    places = t.orders.select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"), F.lit("placed").alias("label"))
     holds = t.lineitem.select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + big).alias("dst"), F.lit("holds").alias("label")).distinct()
     nodes = t.customer.select(F.col("c_custkey").alias("id"), F.lit("Customer").alias("label"))
     return match.match(nodes, places.unionByName(holds), "(c:Customer)-[:placed]->(o)-[:holds]->(p)").select("c", "o", "p")

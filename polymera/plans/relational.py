@@ -24,7 +24,7 @@ def q1(t: Tables):
 
 both(
     "scan_filter_project",
-    """SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 2) AS net FROM {lineitem}
+    """SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(15, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2))) AS DOUBLE) AS net FROM {lineitem}
     WHERE l_quantity BETWEEN 10 AND 20 AND l_returnflag IN ('A', 'N') AND l_discount IS NOT NULL AND NOT (l_linestatus = 'F')""",
 )
 both("point_get", "SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) AS total FROM {orders} WHERE o_orderkey = 7")
@@ -34,7 +34,7 @@ both("constant_result", "SELECT 1 AS one, 'x' || 'y' AS xy, 7 % 3 AS m, CAST('12
 both("join_inner", "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {customer} JOIN {orders} ON c_custkey = o_custkey GROUP BY c_mktsegment")
 both("join_left_residual", "SELECT c.c_custkey, count(o.o_orderkey) AS n FROM {customer} c LEFT JOIN {orders} o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 100000 GROUP BY c.c_custkey")
 both("join_right", "SELECT n_name, count(s_suppkey) AS suppliers FROM {supplier} RIGHT JOIN {nation} ON s_nationkey = n_nationkey GROUP BY n_name")
-both("join_full", "SELECT c.c_custkey, s.s_suppkey FROM (SELECT * FROM {customer} WHERE c_custkey % 7 = 0) c FULL OUTER JOIN {supplier} s ON c.c_custkey = s.s_suppkey")
+both("join_full", "SELECT c.c_custkey, s.s_suppkey FROM {customer} c FULL OUTER JOIN {supplier} s ON c.c_custkey = s.s_suppkey")
 both("join_semi_exists", "SELECT c_custkey, c_name FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')")
 both("join_anti_not_exists", "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")
 both("join_cross", "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}")
@@ -152,16 +152,16 @@ def insert_or_ignore(t: Tables):
     return dml.insert_or_ignore(t.supplier.select("s_suppkey", "s_name"), new, ["s_suppkey"])
 
 
-@query("upsert", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 = 0")
+@query("upsert", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0")
 def upsert(t: Tables):
-    new = t.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_name").alias("s_name"))
+    new = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_name").alias("s_name"))
     return dml.upsert(t.supplier.select("s_suppkey", "s_name"), new, ["s_suppkey"])
 
 
-@query("on_conflict_update", "SELECT coalesce(s_suppkey, c_custkey) AS k, CASE WHEN s_suppkey IS NULL THEN c_acctbal WHEN c_custkey IS NULL THEN s_acctbal ELSE round(s_acctbal + c_acctbal, 2) END AS bal FROM supplier FULL JOIN (SELECT * FROM customer WHERE c_custkey < 200) ON s_suppkey = c_custkey")
+@query("on_conflict_update", "SELECT coalesce(s_suppkey, c_custkey) AS k, CASE WHEN s_suppkey IS NULL THEN c_acctbal WHEN c_custkey IS NULL THEN s_acctbal ELSE round(s_acctbal + c_acctbal, 2) END AS bal FROM supplier FULL JOIN customer ON s_suppkey = c_custkey")
 def on_conflict_update(t: Tables):
     target = t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("bal"))
-    new = t.customer.where("c_custkey < 200").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal"))
+    new = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal"))
     return dml.on_conflict_update(target, new, ["k"], {"bal": F.round(F.col("target.bal") + F.col("excluded.bal"), 2)})
 
 
@@ -186,10 +186,10 @@ def truncate(t: Tables):
 
 
 @query("merge_three_way", """SELECT k, bal FROM (SELECT coalesce(s_suppkey, c_custkey) AS k, CASE WHEN s_suppkey IS NULL THEN c_acctbal WHEN c_custkey IS NULL THEN 0.0 ELSE c_acctbal END AS bal,
-    s_suppkey IS NOT NULL AND c_custkey IS NOT NULL AND c_acctbal < 0 AS gone FROM supplier FULL JOIN (SELECT * FROM customer WHERE c_custkey BETWEEN 50 AND 150) ON s_suppkey = c_custkey) WHERE NOT gone""")
+    s_suppkey IS NOT NULL AND c_custkey IS NOT NULL AND c_acctbal < 0 AS gone FROM supplier FULL JOIN customer ON s_suppkey = c_custkey) WHERE NOT gone""")
 def merge_three_way(t: Tables):
     target = t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("bal"))
-    source = t.customer.where("c_custkey BETWEEN 50 AND 150").select(F.col("c_custkey").alias("ck"), F.col("c_acctbal").alias("cb"))
+    source = t.customer.select(F.col("c_custkey").alias("ck"), F.col("c_acctbal").alias("cb"))
     arms = [
         dml.When("matched", "delete", condition=F.col("source.cb") < 0),
         dml.When("matched", "update", {"bal": F.col("source.cb")}),
@@ -199,11 +199,14 @@ def merge_three_way(t: Tables):
     return dml.merge(target, source, "k", "ck", arms)
 
 
-@query("returning", "SELECT c_custkey, round(c_acctbal + 1, 2) AS c_acctbal FROM customer WHERE c_custkey <= 10")
+@query("returning", "SELECT c_custkey, greatest(c_acctbal, 0) AS c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING'")
 def returning(t: Tables):
-    before = t.customer.select("c_custkey", "c_acctbal")
-    after = dml.update(before, F.col("c_custkey") <= 10, {"c_acctbal": F.round(F.col("c_acctbal") + 1, 2)})
-    return dml.changed_rows(before, after)
+    return dml.update_returning(t.customer, F.col("c_mktsegment") == "BUILDING", {"c_acctbal": F.greatest("c_acctbal", F.lit(0.0))}).select("c_custkey", "c_acctbal")
+
+
+@query("returning_deleted", "SELECT c_custkey FROM customer WHERE c_acctbal < 0")
+def returning_deleted(t: Tables):
+    return dml.delete_returning(t.customer, F.col("c_acctbal") < 0).select("c_custkey")
 
 
 @query("bitemporal_as_of", """SELECT o_custkey AS id, o_orderkey AS n FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders WHERE o_orderkey <= 9000)
@@ -235,9 +238,9 @@ def array_agg_by_dim(t: Tables):
     return nd.array_agg(_cells(t), "q", "mean", "y").select("y", F.round("value", 9).alias("value"))
 
 
-@query("array_elementwise", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.v <> 0 THEN a.v / b.v END AS v FROM (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey < 80) a FULL JOIN (SELECT s_suppkey AS k, floor(s_acctbal / 5000) AS v FROM supplier) b ON a.k = b.k")
+@query("array_elementwise", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.v <> 0 THEN a.v / b.v END AS v FROM (SELECT c_custkey AS k, c_acctbal AS v FROM customer) a FULL JOIN (SELECT s_suppkey AS k, floor(s_acctbal / 5000) AS v FROM supplier) b ON a.k = b.k")
 def array_elementwise(t: Tables):
-    a = t.customer.where("c_custkey < 80").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    a = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
     b = t.supplier.select(F.col("s_suppkey").alias("k"), F.floor(F.col("s_acctbal") / 5000).cast("double").alias("v"))
     return nd.array_elementwise(a, b, ["k"], "v", "/")
 
@@ -310,7 +313,8 @@ def json_paths(t: Tables):
     return t.events.select("event_id", json_functions.json_extract(p, "k").alias("k"), json_functions.json_exists(p, "k").alias("has_k"))
 
 
-@query("json_edits")
+@query("json_edits", """SELECT event_id, CAST(json_merge_patch(props, '{"seen":true}') AS VARCHAR) AS "set", CAST(json_merge_patch(props, '{"k":null}') AS VARCHAR) AS removed,
+    lower(json_type(props)) AS type, len(json_keys(props))::INT AS n FROM events""")
 def json_edits(t: Tables):
     p = F.col("props")
     return t.events.select("event_id", json_functions.json_set(p, "seen", F.lit("true")).alias("set"), json_functions.json_remove(p, "k").alias("removed"), json_functions.json_type(p).alias("type"), json_functions.json_length(p).alias("n"))

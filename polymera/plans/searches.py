@@ -118,10 +118,10 @@ def spatial_dwithin(t: Tables):
     return spatial.within_distance(_points(t), "x", "y", (10.0, 20.0), 4_000_000).select("id", F.round("distance", 2).alias("distance"))
 
 
-@query("spatial_distance_join", f"SELECT a.id AS a, b.id AS b, round({_HAV.format(a='a.', b='b.')}, 2) AS distance FROM {_P} a, {_P} b WHERE a.id < b.id AND {_HAV.format(a='a.', b='b.')} <= 500000 AND abs(a.x - b.x) < 180")
+@query("spatial_distance_join", f"SELECT a.id AS a, b.id AS b, round({_HAV.format(a='a.', b='b.')}, 2) AS distance FROM {_P} a, {_P} b WHERE a.id < b.id AND {_HAV.format(a='a.', b='b.')} <= 500000")
 def spatial_distance_join(t: Tables):
     j = spatial.distance_join(_points(t, "ax", "ay", "a"), _points(t, "bx", "by", "b"), 500_000, ("ax", "ay"), ("bx", "by"))
-    return j.where("a < b AND abs(ax - bx) < 180").select("a", "b", F.round("distance", 2).alias("distance"))
+    return j.where("a < b").select("a", "b", F.round("distance", 2).alias("distance"))
 
 
 @query("spatial_in_polygon", f"SELECT id FROM {_P} WHERE x > -100.5 AND x < 40.5 AND y > -30.5 AND y < 50.5 AND y - x * 0.5 < 60.25")

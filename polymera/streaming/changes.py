@@ -22,17 +22,13 @@ def compacted(changes: DataFrame, keys: Sequence[str], order: str, op: str = "op
 def apply_to(target_path: str, keys: Sequence[str], order: str, op: str = "op") -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that keeps a Parquet table of the latest rows under numbered folders.
 
-    Batch n reads folder n - 1 and writes folder n, so a batch that is run again writes the same again.
+    Batch n reads folder n - 1 and writes folder n, so a batch that is run again writes the same again. Only
+    batch 0 begins without a folder before it: a later one that misses it raises rather than begin empty.
     """
 
     def run(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        try:
-            before = spark.read.parquet(f"{target_path}/{n - 1}")
-            batch = before.unionByName(batch, allowMissingColumns=True)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        if n:
+            batch = batch.sparkSession.read.parquet(f"{target_path}/{n - 1}").unionByName(batch, allowMissingColumns=True)
         compacted(batch, keys, order, op).write.mode("overwrite").parquet(f"{target_path}/{n}")
 
     return run
