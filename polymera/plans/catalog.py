@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polymera.plans import base, functions, graphs, relational, searches, series, streams  # noqa: F401  registers its queries
+from polymera.plans import base, functions, graphs, relational, searches, series, sql_surface, streams  # noqa: F401  registers its queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,20 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from polymera import sql_functions
 from polymera.functions.datetimes import interval_ms
 
-#: SQL functions that Spark lacks or defines otherwise, as SQL bodies that Catalyst inlines.
-SQL_FUNCTIONS = {
-    "char_bytes(s STRING) RETURNS INT": "octet_length(s)",
-    "array_has(a ARRAY<STRING>, v STRING) RETURNS BOOLEAN": "coalesce(exists(a, x -> x <=> v), false)",
-    "safe_sqrt(x DOUBLE) RETURNS DOUBLE": "CASE WHEN x >= 0 THEN sqrt(x) END",
-    "bucket_ms(width BIGINT, ms BIGINT) RETURNS BIGINT": "CAST(floor(ms / width) * width AS BIGINT)",
-    "vector_dot(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": "aggregate(zip_with(a, b, (x, y) -> x * y), CAST(0 AS DOUBLE), (s, x) -> s + x)",
-    "vector_l2(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": "aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), CAST(0 AS DOUBLE), (s, x) -> s + x)",
-    "geo_distance(lng1 DOUBLE, lat1 DOUBLE, lng2 DOUBLE, lat2 DOUBLE) RETURNS DOUBLE": "2 * 6371000.0 * asin(sqrt(least(1.0D, pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lng2 - lng1) / 2), 2))))",
-}
-
-
 class Engine:
     """Collections by name over one Spark session.
 
@@ -40,8 +29,7 @@ class Engine:
         for k, v in self.OPTIONS.items():
             self.spark.conf.set(k, v)
         self.schemas: dict[str, dict[str, str]] = {}
-        for signature, body in SQL_FUNCTIONS.items():
-            self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
+        sql_functions.register(self.spark)
 
     def register(self, name: str, df: DataFrame) -> DataFrame:
         """Make a DataFrame a collection; the name replaces any before."""
