@@ -17,17 +17,24 @@ from polymera.storage import written
 PIECES = "piece_bpe_32k.model"
 #: Least score of a told language: below, the others together are likelier. Of one language alone it is always 1.
 LEAST_SCORE = 0.5
+#: Numbers of dropped rows that are broadcast at most (16 bytes each, 8 MB).
+GONE = 1 << 19
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """Whole rows beside their texts, so that no column's name can clash with an operator's."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    """Rows without their texts beside the texts, so that no column's name can clash with an operator's and each text travels once."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]).alias("row"), F.col("text"))
+
+
+def _whole(packed: DataFrame, columns: list[str]) -> DataFrame:
+    """The packed rows as they were."""
+    return packed.select(*[F.col("text" if c.lower() == "text" else f"row.`{c}`").alias(c) for c in columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic, by a model of the labels that cover them."""
     model = toxicity.learn_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_toxicity(_packed(docs), model, keep=["row"]).where("predicted = 0").select("row.*")
+    return _whole(toxicity.score_toxicity(_packed(docs), model, keep=["row", "text"]).where("predicted = 0"), docs.columns)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,19 +45,22 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     profiles = language_id.learn_profiles(docs)
     if not profiles:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    told = language_id.identify(_packed(docs), profiles, keep=["row"])
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    told = language_id.identify(_packed(docs), profiles, keep=["row", "text"])
+    return _whole(told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the least id, and one row of it.
 
-    Rows are told apart by a number written beside them once, so that all plans read the same.
+    Rows are told apart by a number written beside them once, so that all plans read the same. The numbers of
+    rows that go are broadcast if they are few (GONE at most); if not, the join shuffles the texts.
     """
     packed = _packed(docs).withColumn("place", F.monotonically_increasing_id())
     placed = written(packed.select("row", "text", F.struct(F.col("row.doc_id"), "place").alias("id")), "pipeline-placed")
     gone = near_dedup.near_duplicates(placed, key="id").where("NOT kept").select(F.col("id.place").alias("place"))
-    return placed.select("row", F.col("id.place").alias("place")).join(gone, "place", "left_anti").select("row.*")
+    gone = written(gone, "pipeline-gone")
+    kept = placed.withColumn("place", F.col("id.place")).join(F.broadcast(gone) if gone.count() <= GONE else gone, "place", "left_anti")
+    return _whole(kept, docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from polymera.llm.common import append_columns, slices
+from polymera.llm.common import append_columns, slices, trimmed
 
 #: Components of a vector, letters bound in an n-gram, and the seed of the letter vectors.
 DIMENSIONS, SEED = 512, 20_240
@@ -131,7 +131,7 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", dime
 
     if (n := source.agg(F.approx_count_distinct("lang")).first()[0]) > MOST_LANGUAGES:
         raise ValueError(f"some {n} different languages in {lang}; {MOST_LANGUAGES} at most can be told apart")
-    rows = source.mapInArrow(run, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect()
+    rows = source.mapInArrow(trimmed(run), "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect()
     out: dict[str, np.ndarray] = {}
     for r in rows:
         out.setdefault(r["lang"], np.zeros(dimensions))[r["i"]] = r["v"]

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polymera.llm.common import slices, words, written
+from polymera.llm.common import give_back, slices, trimmed, words, written
 from polymera.operators.components import connected_components
 
 #: Words of a shingle; documents are linked at SIMILAR percent or more of shared shingles.
@@ -78,7 +78,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n_shingles", "digest", "keys"])
 
     kind = source.schema[0].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, n_shingles long, digest binary, keys array<long>")
+    return source.mapInArrow(trimmed(run), f"id {kind}, n_shingles long, digest binary, keys array<long>")
 
 
 def _places(digests: list[bytes], bits: int) -> np.ndarray:
@@ -100,7 +100,7 @@ def _filter_of(members: DataFrame) -> np.ndarray:
         used = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(bits[used].view(np.int64), pa.int64())], names=["i", "word"])
 
-    rows = members.select("digest").mapInArrow(run, "i int, word long").groupBy("i").agg(F.bit_or("word").alias("word"))
+    rows = members.select("digest").mapInArrow(trimmed(run), "i int, word long").groupBy("i").agg(F.bit_or("word").alias("word"))
     out = np.zeros(size // 64, np.uint64)
     table = rows.toArrow()
     out[table.column("i").to_numpy()] = table.column("word").to_numpy().view(np.uint64)
@@ -134,7 +134,7 @@ def member_sets(docs: DataFrame, members: DataFrame, key: str, text: str) -> Dat
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(made, pa.binary())], names=["digest", "shingles"])
 
-    return source.mapInArrow(run, "digest binary, shingles binary")
+    return source.mapInArrow(trimmed(run), "digest binary, shingles binary")
 
 
 def _tag(digest: Column, first_id: Column) -> Column:
@@ -200,6 +200,8 @@ def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
     start = pd.factorize(pdf["label"])[0]
     order = np.lexsort((np.arange(len(pdf)), -pdf["weight"].to_numpy()))
     pairs = links_within(sets, keys, start, order)
+    del sets, keys
+    give_back()
     return pd.DataFrame({"src": [pdf["digest"][x] for x, _ in pairs], "dst": [pdf["digest"][y] for _, y in pairs]}, columns=["src", "dst"])
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from polymera.llm.common import slices
+from polymera.llm.common import slices, trimmed
 
 #: Segmentations of a text, the seed beside each row's key, and the sharpness of piece probabilities.
 SAMPLES, SEED, SHARPNESS = 2, 3, 1.0
@@ -423,7 +423,7 @@ def sample_segmentations(docs: DataFrame, path: str, key: str = "doc_id", text:
     kind = source.schema[0].dataType
     numbers = [("rank", T.IntegerType()), ("n_pieces", T.IntegerType()), ("pieces", T.ArrayType(T.IntegerType())), ("log_prob", T.DoubleType()), ("perturbed", T.DoubleType()), ("log_inclusion", T.DoubleType())]
     schema = T.StructType([T.StructField("key", kind), *[T.StructField(c, t) for c, t in numbers]])
-    return source.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return source.mapInArrow(trimmed(run), schema).withColumnRenamed("key", key)
 
 
 def encode_pieces(docs: DataFrame, path: str, text: str = "text", out: str = "pieces") -> DataFrame:

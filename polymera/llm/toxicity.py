@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from polymera.llm.common import append_columns, slices
+from polymera.llm.common import append_columns, slices, trimmed
 
 #: Strength of the Dirichlet prior (pseudo-documents a token, dealt to the classes by their sizes), and
 #: the z-score and size that a token's log-odds must reach to keep its weight; the rest drift by DRIFT.
@@ -138,7 +138,7 @@ def _token_counts(rows: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    return rows.mapInArrow(run, "token binary, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return rows.mapInArrow(trimmed(run), "token binary, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", model_tokens: int = MODEL_TOKENS, labelled_rows: int = LABELLED_ROWS) -> ToxicityModel:
@@ -189,7 +189,7 @@ def _calibrate(model: ToxicityModel, sample: DataFrame, most: int) -> None:
                     every.append(scores)
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(n, pa.int64()), pa.array(top, pa.float64()), pa.array(every, pa.list_(pa.float64()))], names=["toxic", "n", "top", "every"])
 
-    found = sample.select("text", "toxic").mapInArrow(best, "toxic int, n long, top double, every array<double>")
+    found = sample.select("text", "toxic").mapInArrow(trimmed(best), "toxic int, n long, top double, every array<double>")
     order = [F.xxhash64("n", "top"), "n", "top"]
     rows = [r for y in (0, 1) for r in found.where(F.col("toxic") == y).orderBy(*order).limit(most).collect()]  # ids may repeat in docs
     toxic = np.array([r["toxic"] for r in rows])

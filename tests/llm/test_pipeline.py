@@ -4,10 +4,11 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from polymera.llm import near_dedup, queries, subword  # noqa: E402
+from polymera.llm import common, near_dedup, queries, subword  # noqa: E402
 from tests.compare import rows_of, rows_of_sql  # noqa: E402
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -48,6 +49,35 @@ def test_one_of_repeated_rows_stays(spark, sf_dir, tmp_path):
     assert sorted(str(r["doc_id"]) for r in got) == ["1", "3", "None"]
 
 
+def test_texts_travel_once_and_need_no_shuffle(spark, sf_dir, monkeypatch):
+    """pipeline: a stage sends each text to Python once, and near-duplicates go without a shuffle of texts while they are few; rows are the same if they are not."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan_of = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for stage in ("toxicity", "language"):
+        passed = [line for line in plan_of(STAGES[stage](spark, docs, sf_dir)).splitlines() if "MapInArrow" in line]
+        assert len(passed) == 1
+    packed = corpus_pipeline._packed(docs)
+    assert packed.columns == ["row", "text"] and "text" not in packed.schema["row"].dataType.names
+    sent = common.append_columns(packed, "text", lambda: lambda texts: [[len(t) for t in texts]], [T.StructField("n", T.LongType())])
+    assert sent.columns == ["row", "text", "n"] and "__text" not in plan_of(sent)
+    assert sorted((r["text"] or "", r["n"]) for r in sent.collect()) == sorted((r["text"] or "", len((r["text"] or "").encode())) for r in docs.collect())
+    few = STAGES["near-duplicates"](spark, docs, sf_dir)
+    assert "broadcast" in plan_of(few) and few.columns == docs.columns
+    monkeypatch.setattr(corpus_pipeline, "GONE", 0)
+    many = STAGES["near-duplicates"](spark, docs, sf_dir)
+    assert "broadcast" not in plan_of(many)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and few.count() < docs.count()
+
+
+def test_passes_give_memory_back(monkeypatch):
+    """pipeline: a pass ends by giving memory back, and yields the same."""
+    called = []
+    monkeypatch.setattr(common, "give_back", lambda: called.append(1))
+    assert list(common.trimmed(lambda a, b: (x + a for x in b))(1, [2, 3])) == [3, 4] and called == [1]
+    monkeypatch.undo()
+    common.give_back()
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_equals_sql(name, spark, sf_dir, duck):
     names, rows = rows_of(queries.queries()[name](spark, sf_dir))
