@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
 import hashlib
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -370,6 +371,27 @@ def test_answers_of_the_other_half():
     assert np.array_equal(told[2], np.append(of(every, [0, 1]), of(zero, [0, 1]))) and np.array_equal(told[3], of(every, [1, 2]))
 
 
+def test_answers_in_runs_need_little_memory():
+    """op3: a part is told the same in runs of contexts as at once, and holds a small part of the memory."""
+    rng = np.random.default_rng(9)
+    code = lm_bits.Code.of([int(x) for x in rng.integers(1, 1_000, 5_000)])
+    rows = []
+    for pack in range(24):
+        context, rank, n, _ = lm_score.entries(rng.integers(0, 40_000, 25_000).astype(np.uint32), rng.integers(0, 5_000, 25_000))
+        rows.append((pack, pack % 3, lm_score._packed(lm_score._planes(np.diff(context, prepend=np.uint32(0))) + lm_score._planes(rank) + lm_score._planes(n.astype(np.uint32)))))
+
+    def told(*most):
+        tracemalloc.start()
+        found = [b.column(2)[0].as_py() for b in lm_score._answers(code, 0, rows, *most)]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found, peak
+
+    (runs, peak), (whole, much), (many, _) = told(), told(10**9), told(1_000)
+    assert runs == whole == many and peak < 0.6 * much
+
+
+
 def test_every_coded_word_is_a_context():
     """Words of any rank before, pairs of words and the last but one tell contexts apart."""
     first = np.array([True, False, False])
