@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polymera.operators.components import connected_components
-from polymera.storage import written
+from polymera.storage import forget, written
 
 
 #: Rounds of power iteration between two written tables.
 ROUNDS_A_WRITE = 3
 
+#: Nodes of at most so many neighbours are compared for equal ones; only speed depends on it.
+TWIN_DEGREE = 16
+
+#: Rows that a batch of sources may hold, 64 sources of a node in each; only speed depends on it.
+CELLS = 4_000_000
+
 
 def vertices(edges: DataFrame) -> DataFrame:
     """Every end of an edge, as id."""
@@ -248,10 +254,118 @@ def harmonic(edges: DataFrame, sample_size: int | None = None) -> DataFrame:
     return d.select(F.col("source").alias("node_id"), (F.col("s") / max(1, n - 1)).alias("centrality"))
 
 
-def diameter(edges: DataFrame) -> DataFrame:
-    """One row (diameter, radius): greatest and least eccentricity over undirected paths within components."""
-    e = _distances(undirected(edges), vertices(edges)).groupBy("source").agg(F.max("depth").alias("ecc"))
-    return e.agg(F.max("ecc").alias("diameter"), F.min("ecc").alias("radius"))
+def _without_twins(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Undirected links, and nodes (id, degree, low), of which one stands for all that have the same neighbours.
+
+    Such nodes are two apart and equally far from every other, so distances of those that stay do not
+    change. low is what is known of an eccentricity: 2 for one that has a twin, else 1.
+    """
+    degrees = written(_degrees(links), "degrees")
+    few = links.join(degrees.where(F.col("degree") <= TWIN_DEGREE), "src").groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("near"))
+    kept = few.groupBy("near").agg(F.min("src").alias("id"), F.size("near").cast("long").alias("degree"), F.when(F.count("*") > 1, 2).otherwise(1).alias("low")).drop("near")
+    kept = written(kept.unionByName(degrees.where(F.col("degree") > TWIN_DEGREE).select(F.col("src").alias("id"), "degree", F.lit(1).alias("low"))), "nodes")
+    rest = links.join(kept.select(F.col("id").alias("src")), "src", "left_semi").join(kept.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return written(rest.select("src", "dst"), "links"), kept
+
+
+def _rounds(links: DataFrame, sources: DataFrame, max_depth: int) -> Iterator[DataFrame]:
+    """Written tables (id, part, block, seen, fresh, last), one for each depth from 1 that any node meets a source at.
+
+    Sources are (id, part, block, bit) and seen holds the bits of those met, fresh of those met at this depth, of
+    64 sources of a block; last is the depth of the last one. Sources of different parts may share a bit, as no
+    path leads between them. The table before is read until the next one is taken.
+    """
+    state = written(sources.select("id", "part", "block", F.col("bit").alias("seen"), F.col("bit").alias("fresh"), F.lit(0).alias("last")), "met")
+    for depth in range(1, max_depth + 1):
+        before = state
+        step = links.join(before.where("fresh <> 0"), links["src"] == before["id"]).select(F.col("dst").alias("id"), "part", "block", F.expr("0L AS seen"), F.col("fresh").alias("offer"), F.lit(0).alias("last"))
+        both = before.select("id", "part", "block", "seen", F.expr("0L AS offer"), "last").unionAll(step)
+        both = both.groupBy("id", "part", "block").agg(F.bit_or("seen").alias("seen"), F.bit_or("offer").alias("offer"), F.max("last").alias("last"))
+        both = both.select("id", "part", "block", F.expr("seen | offer").alias("seen"), F.expr("offer & ~seen").alias("fresh"), "last")
+        state = written(both.withColumn("last", F.when(F.col("fresh") != 0, F.lit(depth)).otherwise(F.col("last"))), "met")
+        if not state.where("fresh <> 0").limit(1).count():
+            forget(state)
+            return
+        yield state
+    raise RuntimeError(f"paths of more than {max_depth} edges; raise max_depth")
+
+
+def _slots(nodes: DataFrame) -> DataFrame:
+    """Nodes with a bit of a block of 64, different within a part."""
+    slots = nodes.withColumn("slot", F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1)
+    return slots.withColumns({"block": F.expr("slot div 64"), "bit": F.expr("shiftleft(1L, slot % 64)")}).drop("slot")
+
+
+def _picked(undecided: DataFrame, most: int) -> DataFrame:
+    """Of each part at most so many sources, half those that may be farthest out, half those that may be most central."""
+    orders = [(F.desc_nulls_first("high"), F.desc("degree"), F.col("id")), (F.asc("low"), F.desc("degree"), F.col("id"))]
+    halves = [undecided.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(*o))).where(F.col("rank") <= most // 2) for o in orders]
+    return halves[0].unionByName(halves[1]).select("id", "part", "low").distinct()
+
+
+def _all_distances_bounded(links: DataFrame, nodes: DataFrame, max_depth: int) -> DataFrame:
+    """(low, high) of each node, both its eccentricity: every node is a source, so the last source met is the farthest node."""
+    sources = written(_slots(nodes.withColumn("part", F.lit(0))), "sources")
+    last = sources.select("id", F.lit(0).alias("last"))
+    table = None
+    for state in _rounds(links, sources, max_depth):
+        if table is not None:
+            forget(table)
+        table, last = state, state.select("id", "last")
+    far = nodes.join(last.groupBy("id").agg(F.max("last").alias("last")), "id").select(F.greatest("low", "last").alias("low"))
+    return far.withColumn("high", F.col("low"))
+
+
+def _batches_bounded(links: DataFrame, nodes: DataFrame, max_depth: int, cells: int) -> DataFrame:
+    """(low, high) around each node's eccentricity, near enough to tell the greatest low and the least high are the greatest and least of all."""
+    most = max(2, 64 * cells // nodes.count())
+    size = min(64, most)
+    parts = connected_components(links).withColumnRenamed("component", "part")
+    bounds = written(nodes.join(parts, "id").withColumn("high", F.lit(None).cast("int")), "bounds")
+    while True:
+        top, least = bounds.agg(F.max("low"), F.min("high")).first()
+        undecided = bounds.where("high IS NULL")
+        if least is not None:
+            undecided = bounds.where(F.col("high").isNull() | (F.col("low") < F.col("high")) & ((F.col("high") > top) | (F.col("low") < least)))
+        if not undecided.limit(1).count():
+            return bounds
+        sources = written(_slots(_picked(undecided, size)), "sources")
+        met, done = None, [bounds, sources]
+        for depth, state in enumerate(_rounds(links, sources, max_depth), 1):
+            new = state.where("fresh <> 0").select("id", "part", "block", "fresh", F.lit(depth).alias("depth"))
+            met = new if met is None else met.unionByName(new)
+            done.append(state)
+            if depth % 16 == 0:
+                met = written(met, "met")
+                done.append(met)
+        ends = met.groupBy("part", "block", "depth").agg(F.bit_or("fresh").alias("fresh"))
+        far = sources.join(ends, ["part", "block"]).where("(fresh & bit) <> 0")
+        far = written(far.groupBy("id", "part", "block", "bit", "low").agg(F.max("depth").alias("far")).withColumn("far", F.greatest("far", "low")), "far")
+        alike = far.groupBy("part", "block", "far").agg(F.bit_or("bit").alias("bits"))
+        offers = met.join(alike, ["part", "block"]).where("(fresh & bits) <> 0").select("id", F.greatest(F.col("depth"), F.col("far") - F.col("depth")).alias("l"), (F.col("far") + F.col("depth")).alias("h"))
+        offers = offers.unionAll(far.select("id", "far", "far")).groupBy("id").agg(F.max("l").alias("l"), F.min("h").alias("h"))
+        bounds = written(bounds.join(offers, "id", "left").select("id", "part", "degree", F.greatest("low", "l").alias("low"), F.least("high", "h").alias("high")), "bounds")
+        if 8 * met.count() <= cells:
+            size = min(most, 8 * size)
+        for table in (far, *done):
+            forget(table)
+
+
+def diameter(edges: DataFrame, max_depth: int = 1000, cells: int = CELLS) -> DataFrame:
+    """One row (diameter, radius): greatest and least eccentricity over undirected paths within components.
+
+    Nodes without neighbours take no part; if no node has any, both are null. Of nodes with the same neighbours
+    one is visited. If all that stay fit as sources, 64 to a row of a node, in that many cells, they are. Else a batch of
+    each component's is, after which a node's eccentricity lies between max(d, e - d) and e + d for a source
+    at distance d with eccentricity e, and nodes come next until these bounds decide both figures. Both ways are
+    exact; on graphs whose bounds stay apart every node becomes a source. Paths of max_depth edges raise.
+    """
+    links, nodes = _without_twins(written(undirected(edges), "links"))
+    if nodes.count() ** 2 <= 64 * cells:
+        bounds = _all_distances_bounded(links, nodes, max_depth)
+    else:
+        bounds = _batches_bounded(links, nodes, max_depth, cells)
+    return bounds.agg(F.max("low").alias("diameter"), F.min("high").alias("radius"))
 
 
 def betweenness(edges: DataFrame, sample_size: int | None = 1_000, normalized: bool = True, max_edges: int = 5_000_000) -> DataFrame:
